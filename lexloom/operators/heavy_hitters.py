@@ -1,0 +1,151 @@
+"""Most frequent items of a column too large to group: counter summaries, then an exact second pass.
+
+Pass one runs a weighted space-saving summary over every partition. A summary holds at most
+``counters`` items and an error bound: an item's true weight lies in ``[count, count + error]``
+where ``error`` is the weight the summary gave up. Summaries merge by adding counters and then
+taking the (counters + 1)-th largest count off all of them, which keeps the bound
+``error <= weight / (counters + 1)``. The merge runs as a tree of ``fan_in`` summaries per task, so
+no task and not the driver ever sees more than ``fan_in * counters`` items.
+
+Every item whose weight is at least ``share`` of the total survives pass one when
+``counters >= 1 / share``. Pass two counts the survivors (at most ``counters`` of them, hence a
+bounded broadcast) exactly, with map-side combination, so that one hot value is no hot task.
+
+Rows with a null item, a null weight or a weight below one count nowhere; repeated rows count as
+often as they occur. An empty table has no frequent items. Items compare byte for byte.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SUMMARY = "slot long, item binary, cnt long, err long, total long"
+
+
+class SpaceSaving:
+    """A weighted counter summary of bounded size. ``counts`` are lower bounds, ``error`` the slack."""
+
+    def __init__(self, counters: int):
+        self.counters, self.counts, self.error, self.total = counters, {}, 0, 0
+
+    def add(self, items: Iterable[bytes], weights: Iterable[int]) -> None:
+        counts = self.counts
+        for item, w in zip(items, weights):
+            counts[item] = counts.get(item, 0) + w
+            self.total += w
+        self.shrink()
+
+    def shrink(self) -> None:
+        over = len(self.counts) - self.counters
+        if over <= 0:
+            return
+        values = np.fromiter(self.counts.values(), np.int64, len(self.counts))
+        cut = int(np.partition(values, over - 1)[over - 1])  # the largest count that has no counter of its own
+        self.counts = {k: v - cut for k, v in self.counts.items() if v > cut}
+        self.error += cut
+
+    def to_batch(self, slot: int) -> pa.RecordBatch:
+        # a marker row with a null item keeps error and total when no counter is left
+        n = len(self.counts)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([slot] * (n + 1), pa.int64()),
+                pa.array([None, *self.counts], pa.binary()),
+                pa.array([0, *self.counts.values()], pa.int64()),
+                pa.array([self.error] + [0] * n, pa.int64()),
+                pa.array([self.total] + [0] * n, pa.int64()),
+            ],
+            names=["slot", "item", "cnt", "err", "total"],
+        )
+
+
+def _summarise(counters: int, slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        s, pending, held = SpaceSaving(counters), [], 0
+
+        def flush() -> None:
+            t = pa.Table.from_batches(pending).group_by("item").aggregate([("cnt", "sum")])
+            s.add(t["item"].to_pylist(), t["cnt_sum"].to_pylist())
+
+        for b in batches:
+            if b.num_rows:
+                pending.append(b)
+                held += b.num_rows
+            if held >= 32 * counters:
+                flush()
+                pending, held = [], 0
+        if pending:
+            flush()
+        yield s.to_batch(TaskContext.get().partitionId() % slots)
+
+    return run
+
+
+def _merge(counters: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[int, SpaceSaving] = {}
+        for b in batches:
+            slots = b.column(0).to_numpy()
+            for slot in np.unique(slots):
+                part = b.filter(pc.equal(b.column(0), int(slot)))
+                s = merged.setdefault(int(slot), SpaceSaving(counters))
+                head = part.filter(pc.is_null(part.column(1)))
+                s.error += pc.sum(head.column(3)).as_py() or 0
+                s.total += pc.sum(head.column(4)).as_py() or 0
+                body = part.filter(pc.is_valid(part.column(1)))
+                total = s.total
+                s.add(body.column(1).to_pylist(), body.column(2).to_pylist())
+                s.total = total
+        for slot, s in merged.items():
+            yield s.to_batch(slot)
+
+    return run
+
+
+def _counted(df: DataFrame, item: str, weight: str | None) -> DataFrame:
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    return df.select(F.col(item).cast("binary").alias("item"), w.alias("cnt")).where(F.col("item").isNotNull() & (F.col("cnt") > 0))
+
+
+def summaries(df: DataFrame, item: str, weight: str | None, counters: int, fan_in: int = 16) -> DataFrame:
+    """Pass one: one merged summary as rows; the rows with a null item carry error bound and total weight.
+
+    ``item`` is a binary or string column, ``weight`` a count column (None: every row weighs one).
+    The first level of the tree is as wide as spark.sql.shuffle.partitions, each further one
+    ``fan_in`` times narrower; a merging task holds one summary, however many it reads.
+    """
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    level = _counted(df, item, weight).mapInArrow(_summarise(counters, width), SUMMARY)
+    while True:
+        level = level.repartition(width, "slot").mapInArrow(_merge(counters), SUMMARY)
+        if width == 1:
+            return level
+        width = -(-width // fan_in)
+        level = level.withColumn("slot", F.col("slot") % width)
+
+
+def frequent_items(df: DataFrame, item: str, weight: str | None = None, per: int = 500, counters: int | None = None, fan_in: int = 16) -> DataFrame:
+    """Items with at least one ``per``-th of the whole weight.
+
+    Columns: ``item BINARY, approx BIGINT, error BIGINT, exact BIGINT, total BIGINT``; ``approx`` is
+    the summary's lower bound and ``approx + error`` its upper bound for ``exact``.
+    """
+    counters = counters or 4 * per
+    if counters < per:
+        raise ValueError("counters must be at least per, else frequent items can be lost")
+    rows = summaries(df, item, weight, counters, fan_in).collect()  # at most counters + 1 rows
+    error = sum(r["err"] for r in rows)
+    total = sum(r["total"] for r in rows)
+    kept = [(bytes(r["item"]), r["cnt"], error, total) for r in rows if r["item"] is not None and (r["cnt"] + error) * per >= total]
+    small = df.sparkSession.createDataFrame(kept, "item binary, approx long, error long, total long").coalesce(1)
+    exact = _counted(df, item, weight).join(F.broadcast(small.select("item")), "item", "left_semi").groupBy("item").agg(F.sum("cnt").alias("exact"))
+    out = small.join(exact, "item").where(F.col("exact") * F.lit(per) >= F.col("total"))
+    return out.select("item", "approx", "error", "exact", "total")

@@ -1,0 +1,42 @@
+"""Queries of the general operators over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.operators import heavy_hitters, mixing
+from lexloom.session import table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy_hitters.frequent_items(table(spark, sf_dir, "agg_chunks"), "chunk", "cnt", per=500).select(F.decode("item", "UTF-8").alias("chunk"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items with exact counts and the summary's bounds."""
+    return heavy_hitters.frequent_items(table(spark, sf_dir, "agg_chunks"), "chunk", "cnt", per=500).select(
+        F.decode("item", "UTF-8").alias("chunk"), F.col("exact").alias("cnt"), (F.col("approx") <= F.col("exact")).alias("above_lower"), (F.col("exact") <= F.col("approx") + F.col("error")).alias("below_upper")
+    )
+
+
+def _mix(spark: SparkSession, sf_dir: str):
+    t = lambda n: table(spark, sf_dir, n)
+    return mixing.mix(t("jobs"), {"code_files": (t("code_files"), "file_id", "content"), "cosmopedia_v2": (t("cosmopedia_v2"), "row_id", "text"), "fineweb_edu_dedup": (t("fineweb_edu_dedup"), "row_id", "text")})
+
+
+def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(*_mix(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_mix": p5_mix, "p5_shares": p5_shares}
+
+_TOTAL = "SELECT sum(cnt) FROM agg_chunks WHERE chunk IS NOT NULL AND cnt > 0"
+SQL = {
+    "p2_found": f"SELECT decode(chunk) AS chunk FROM agg_chunks WHERE chunk IS NOT NULL AND cnt > 0 GROUP BY chunk HAVING sum(cnt) * 500 >= ({_TOTAL})",
+    "p2_counts": f"SELECT decode(chunk) AS chunk, CAST(sum(cnt) AS BIGINT) AS cnt, true AS above_lower, true AS below_upper FROM agg_chunks WHERE chunk IS NOT NULL AND cnt > 0 GROUP BY chunk HAVING sum(cnt) * 500 >= ({_TOTAL})",
+}
