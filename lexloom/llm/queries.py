@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import encoding, repetition
+from lexloom.llm import authored, encoding, repetition
 from lexloom.session import table
 
 
@@ -16,6 +16,15 @@ def tokenizer_dir() -> str:
     return os.environ.get("LEXLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authored.judge(table(spark, sf_dir, "code_files")).where(F.col("kind").isNotNull()).select("file_id")
+
+
+def p3_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its kind; null means hand-written."""
+    return authored.judge(table(spark, sf_dir, "code_files"))
+
+
 def _repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     synthetic = repetition.measure(table(spark, sf_dir, "cosmopedia_v2"), "cosmopedia_v2", "row_id", "text", "source")
     web = repetition.measure(table(spark, sf_dir, "fineweb_edu_dedup"), "fineweb_edu_dedup", "row_id", "text", "site")
@@ -35,6 +44,6 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{tokenizer_dir()}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {"p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids}
+QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids}
 
 SQL: dict[str, str] = {}
