@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import authored, encoding, repetition
+from lexloom.llm import authored, credentials, encoding, repetition
 from lexloom.session import table
 
 
@@ -16,6 +16,15 @@ def tokenizer_dir() -> str:
     return os.environ.get("LEXLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find(table(spark, sf_dir, "code_files"))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file as delivered, with its secrets masked."""
+    return credentials.redact(table(spark, sf_dir, "code_files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authored.judge(table(spark, sf_dir, "code_files")).where(F.col("kind").isNotNull()).select("file_id")
 
@@ -44,6 +53,6 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{tokenizer_dir()}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {"p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids}
 
 SQL: dict[str, str] = {}
