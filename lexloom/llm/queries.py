@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import authored, credentials, encoding, repetition
+from lexloom.llm import authored, credentials, encoding, leakage, repetition
 from lexloom.session import table
 
 
@@ -53,6 +53,19 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text", f"{tokenizer_dir()}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids}
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_texts"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: how many documents hold it, and the longest passage in words."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
 
 SQL: dict[str, str] = {}
