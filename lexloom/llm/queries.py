@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexloom.llm import authored, credentials, encoding, leakage, repetition
+from lexloom.llm import authored, credentials, encoding, leakage, repetition, subjects
 from lexloom.session import table
 
 
@@ -66,6 +67,21 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("most_words"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
+def _subject_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, n) for n in ("documents", "doc_labels", "subjects")]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.find(*_subject_tables(spark, sf_dir))
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents devoted to it by a quarter or more, and its share of all that has a subject."""
+    s = subjects.shares(*_subject_tables(spark, sf_dir))
+    per = s.groupBy("subject").agg(F.count_if(F.col("share") >= subjects.ACCEPT).alias("documents"), F.sum("share").alias("weight"))
+    return per.withColumn("corpus_share", F.round(F.col("weight") / F.sum("weight").over(W.partitionBy()), 6)).drop("weight")
+
+
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 
 SQL: dict[str, str] = {}
