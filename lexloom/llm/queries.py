@@ -84,4 +84,12 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p3_found": p3_found, "p3_kinds": p3_kinds, "p4_found": p4_found, "p4_shares": p4_shares, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_composition": p8_composition}
 
-SQL: dict[str, str] = {}
+# Words and runs of five as another engine counts them.
+_P4 = """WITH texts AS (
+  SELECT 'cosmopedia_v2' AS tbl, row_id, text FROM cosmopedia_v2 UNION ALL SELECT 'fineweb_edu_dedup', row_id, text FROM fineweb_edu_dedup),
+listed AS (SELECT tbl, row_id, regexp_extract_all(lower(nfc_normalize(text)), '\\p{L}+') AS w FROM texts WHERE text IS NOT NULL),
+runs AS (SELECT tbl, row_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT tbl, row_id, w, unnest(range(1, len(w) - 3)) AS i FROM listed)),
+later AS (SELECT tbl, row_id, i FROM (SELECT *, row_number() OVER (PARTITION BY tbl, row_id, g ORDER BY i) AS n FROM runs) WHERE n > 1),
+covered AS (SELECT tbl, row_id, count(DISTINCT i + k) AS n FROM later, (SELECT unnest(range(0, 5)) AS k) GROUP BY tbl, row_id)
+SELECT l.tbl, l.row_id FROM listed l JOIN covered c ON l.tbl = c.tbl AND l.row_id = c.row_id WHERE c.n * 5 >= len(l.w)"""
+SQL: dict[str, str] = {"p4_found": _P4}
