@@ -6,7 +6,7 @@ mix of ``total_bytes``. Temperature mixing starts from the exponentiated shares
 ``max_repeats_j * available_bytes_j``. When a total is given, a job whose wish exceeds that gives its
 whole capacity and the rest is spread over the others in proportion to their weights (water
 filling), so the mix keeps its size while any capacity is left. When no total is given, the size is
-the largest one at which no job breaks its cap. ``min_entropy`` (nats) or ``max_epochs`` bisect the
+the largest one at which no job with records breaks its cap. ``min_entropy`` (nats) or ``max_epochs`` bisect the
 exponent: lowering ``a`` from 1 to 0 evens the weights out until their entropy reaches the target,
 or until the most-repeated job needs no more than ``max_epochs`` passes.
 
@@ -108,8 +108,9 @@ def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: floa
         exponent = min(exponent, bisect_exponent(shares, ok))
     ws = weights(shares, exponent)
     if total_bytes is None:
-        sizes = [c / w for c, w in zip(caps, ws) if c > 0 and w > 0]
-        total_bytes = int(min(sizes)) if sizes else 0
+        # jobs without records keep the others' proportions as they are
+        able = sum(w for c, w in zip(caps, ws) if c > 0)
+        total_bytes = int(min((c * able / w for c, w in zip(caps, ws) if c > 0 and w > 0), default=0))
     budgets, open_jobs, left = [0.0] * len(jobs), [i for i, c in enumerate(caps) if c > 0], float(min(total_bytes, sum(caps)))
     while open_jobs and left > 1e-9:
         scale = sum(ws[i] for i in open_jobs)
