@@ -16,7 +16,7 @@ from lexloom.functions.bytetext import byte_alphabet, format_bytes_column, to_wo
 from lexloom.functions.pretok import by_regex, digits, parse_spec
 from lexloom.functions.specials import PRESETS, SpecialTokens, segments
 from lexloom.operators import chunks, encode, evaluate, export, merges, ordered
-from lexloom.session import materialize, shared_dir, table
+from lexloom.session import materialize, shared_dir, spread, table
 from lexloom.sources import text as sources
 
 MERGES = 12
@@ -32,8 +32,13 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that splitting and encoding need, over all cores where the table is small."""
+    return spread(docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunk_counts(docs(spark, sf_dir), "text", GPT4, SPECIALS)
+    return chunks.chunk_counts(texts(spark, sf_dir), "text", GPT4, SPECIALS)
 
 
 def trained(spark: SparkSession, sf_dir: str, n: int = MERGES) -> list[merges.Merge]:
@@ -41,7 +46,7 @@ def trained(spark: SparkSession, sf_dir: str, n: int = MERGES) -> list[merges.Me
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encode(docs(spark, sf_dir), "doc_id", "text", trained(spark, sf_dir), GPT4, SPECIALS)
+    return encode.encode(texts(spark, sf_dir), "doc_id", "text", trained(spark, sf_dir), GPT4, SPECIALS)
 
 
 def pair_ids(df: DataFrame) -> DataFrame:
@@ -109,11 +114,11 @@ def truncate_chars(spark, d):
 
 
 def special_split(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(segments(F.col("text"), SPECIALS)).alias("seg_pos", "s")).select("doc_id", "seg_pos", F.col("s.special").alias("special"), F.col("s.seg").alias("seg"))
+    return texts(spark, d).select("doc_id", F.posexplode(segments(F.col("text"), SPECIALS)).alias("seg_pos", "s")).select("doc_id", "seg_pos", F.col("s.special").alias("special"), F.col("s.seg").alias("seg"))
 
 
 def _split(pretok):
-    return lambda spark, d: docs(spark, d).select("doc_id", F.posexplode(chunks.text_chunks(F.col("text"), pretok)).alias("pos", "chunk"))
+    return lambda spark, d: texts(spark, d).select("doc_id", F.posexplode(chunks.text_chunks(F.col("text"), pretok)).alias("pos", "chunk"))
 
 
 # counting
@@ -124,11 +129,11 @@ def chunk_counts(spark, d):
 
 
 def chunk_counts_words(spark, d):
-    return chunks.chunk_counts(docs(spark, d), "text", by_regex(WORDS))
+    return chunks.chunk_counts(texts(spark, d), "text", by_regex(WORDS))
 
 
 def ingest_stats(spark, d):
-    return chunks.ingest_stats(docs(spark, d), "text", GPT4, SPECIALS)
+    return chunks.ingest_stats(texts(spark, d), "text", GPT4, SPECIALS)
 
 
 def unique_chunks(spark, d):
@@ -245,13 +250,13 @@ def encode_tokens(spark, d):
 
 def decode_roundtrip(spark, d):
     found = trained(spark, d)
-    ids = encode.encode(docs(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
+    ids = encode.encode(texts(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
     return encode.decode(ids, "doc_id", "ids", found, SPECIALS).select("doc_id", F.md5("text").alias("digest"))
 
 
 def roundtrip_report(spark, d):
     found = trained(spark, d)
-    ids = encode.encode(docs(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
+    ids = encode.encode(texts(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
     back = encode.decode(ids, "doc_id", "ids", found, SPECIALS).withColumnRenamed("text", "back")
     both = docs(spark, d).select("doc_id", "text").where("text is not null").join(back, "doc_id")
     return both.agg(F.count("*").alias("texts"), F.count_if(F.col("text") == F.col("back")).alias("passed"))
@@ -274,7 +279,7 @@ def special_atomicity(spark, d):
 def vocab_composition(spark, d):
     """How often each token is used in the corpus, and how many bytes it stands for."""
     found = trained(spark, d)
-    ids = encode.encode(docs(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
+    ids = encode.encode(texts(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
     used = ids.select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("uses"))
     names = [(i, len(b)) for i, b in enumerate(merges.token_bytes(found))] + [(i, len(t.encode())) for t, i in SPECIALS.ids(256 + len(found)).items()]
     return used.join(F.broadcast(spark.createDataFrame(names, "token_id int, n_bytes int")), "token_id")

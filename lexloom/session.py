@@ -50,7 +50,28 @@ def materialize(df: DataFrame) -> DataFrame:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for exactly this DataFrame; nothing may read it any more."""
+    path = getattr(df, "_lexloom_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def spread(df: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:
+    """Rows of a small table over all cores.
+
+    A file of a few MB is one task, however much work each of its rows makes. Tables whose files
+    take more than ``small_bytes`` have tasks enough and are left as they are, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
