@@ -172,7 +172,11 @@ def minified(text: str, lines: list[str], path: str) -> bool:
     limit = 0.12 if named else 0.075
     if blank > limit * size or marks < 0.05 * size or size < 40 * len(lines):
         return False
-    # long literals in hand-written code have no spacing either: judge what remains without them
+    # a long literal has no spacing either, but then the other lines are as usual
+    long = [x for x in lines if len(x) >= 30]
+    dense = sum(x.count(" ") + x.count("\t") <= limit * len(x) for x in long)
+    if dense < 0.6 * len(long):
+        return False
     bare = QUOTED.sub("''", text)
     return len(bare) >= 0.5 * size and bare.count(" ") + bare.count("\t") <= limit * len(bare)
 
