@@ -170,7 +170,7 @@ def minified(text: str, lines: list[str], path: str) -> bool:
     blank = text.count(" ") + text.count("\t")
     marks = sum(map(text.count, ";{}()"))
     limit = 0.12 if named else 0.075
-    if blank > limit * size or marks < 0.05 * size or size < 40 * len(lines):
+    if blank > limit * size or marks < 0.05 * size or size < (40 if named else 60) * len(lines):
         return False
     # a long literal has no spacing either, but then the other lines are as usual
     long = [x for x in lines if len(x) >= 30]
