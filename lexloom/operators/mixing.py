@@ -5,7 +5,8 @@ mix of ``total_bytes``. Temperature mixing starts from the exponentiated shares
 ``w_j(a) proportional to t_j ** a``; ``a = 1`` asks for the targets themselves. A job can give at most
 ``max_repeats_j * available_bytes_j``. When a total is given, a job whose wish exceeds that gives its
 whole capacity and the rest is spread over the others in proportion to their weights (water
-filling), so the mix keeps its size while any capacity is left. When no total is given, the size is
+filling), so the mix keeps its size while any capacity is left; with ``within_caps`` the exponent is
+first bisected until no wish exceeds its cap, if some exponent does that. When no total is given, the size is
 the largest one at which no job with records breaks its cap. ``min_entropy`` (nats) or ``max_epochs`` bisect the
 exponent: lowering ``a`` from 1 to 0 evens the weights out until their entropy reaches the target,
 or until the most-repeated job needs no more than ``max_epochs`` passes.
@@ -43,6 +44,7 @@ PLAN = T.StructType(
         T.StructField("available_bytes", T.LongType()),
         T.StructField("records", T.LongType()),
         T.StructField("max_repeats", T.IntegerType()),
+        T.StructField("exponent", T.DoubleType()),
         T.StructField("weight", T.DoubleType()),
         T.StructField("budget_bytes", T.LongType()),
         T.StructField("passes", T.IntegerType()),
@@ -92,7 +94,7 @@ def bisect_exponent(shares: list[float], fits, steps: int = 60) -> float:
     return low
 
 
-def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None) -> list[dict]:
+def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None, within_caps: bool = False) -> list[dict]:
     """Budgets from one dict per job (job, source, target_bytes, max_repeats, available_bytes, records)."""
     jobs = [j for j in jobs if (j["target_bytes"] or 0) > 0]
     asked = sum(j["target_bytes"] for j in jobs)
@@ -106,6 +108,8 @@ def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: floa
         size = total_bytes or sum(j["available_bytes"] or 0 for j in jobs)
         ok = lambda ws: all(w * size <= max_epochs * (j["available_bytes"] or 0) or not j["available_bytes"] for w, j in zip(ws, jobs))
         exponent = min(exponent, bisect_exponent(shares, ok))
+    if within_caps and total_bytes:
+        exponent = min(exponent, bisect_exponent(shares, lambda ws: all(w * total_bytes <= c or not c for w, c in zip(ws, caps))))
     ws = weights(shares, exponent)
     if total_bytes is None:
         # jobs without records keep the others' proportions as they are
@@ -126,7 +130,7 @@ def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: floa
         out.append(
             {
                 "job": j["job"], "source": j["source"], "requested_share": share, "available_bytes": have, "records": j["records"] or 0,
-                "max_repeats": 1 if j["max_repeats"] is None else j["max_repeats"], "weight": w, "budget_bytes": b,
+                "max_repeats": 1 if j["max_repeats"] is None else j["max_repeats"], "exponent": exponent, "weight": w, "budget_bytes": b,
                 "passes": b // have if have else 0, "rest_bytes": b % have if have else 0,
             }
         )
@@ -176,14 +180,14 @@ def realise(records: DataFrame, plan: list[dict], seed: int = 7, blocks: int = 2
     return used.where("uses > 0").select("job", "tbl", "record_id", "n_bytes", "uses", F.xxhash64(F.lit(seed + 1), "tbl", "record_id", "job").alias("slot"))
 
 
-def mix(jobs: DataFrame, tables: dict[str, tuple[DataFrame, str, str]], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None, seed: int = 7, block_records: int = 1_000_000):
+def mix(jobs: DataFrame, tables: dict[str, tuple[DataFrame, str, str]], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None, within_caps: bool = False, seed: int = 7, block_records: int = 1_000_000):
     """(plan as list of dicts, used records as DataFrame). The job table is small by nature and is collected."""
     listed = [r.asDict() for r in current_jobs(jobs).select("job", "target_bytes", "source", "seed_filter", "max_repeats").orderBy("job").collect()]
     records = materialize(job_records(tables, listed)) if any(j["source"] for j in listed) else None
     have = {r["job"]: r for r in records.groupBy("job").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).collect()} if records is not None else {}
     for j in listed:
         j["available_bytes"], j["records"] = (have[j["job"]]["b"], have[j["job"]]["n"]) if j["job"] in have else (0, 0)
-    plan = plan_mix(listed, total_bytes, min_entropy, max_epochs)
+    plan = plan_mix(listed, total_bytes, min_entropy, max_epochs, within_caps)
     if records is None or not plan:
         records = jobs.sparkSession.createDataFrame([], "job string, tbl string, record_id long, n_bytes long")
     blocks = max(64, -(-max((j["records"] for j in listed), default=0) // block_records))

@@ -20,9 +20,12 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _mix(spark: SparkSession, sf_dir: str):
+MIX_BYTES, MIX_ENTROPY = 1_000_000, 2.2  # p5_tempered: the size asked for, and the least entropy of the weights in nats
+
+
+def _mix(spark: SparkSession, sf_dir: str, **how):
     t = lambda n: table(spark, sf_dir, n)
-    return mixing.mix(t("jobs"), {"code_files": (t("code_files"), "file_id", "content"), "cosmopedia_v2": (t("cosmopedia_v2"), "row_id", "text"), "fineweb_edu_dedup": (t("fineweb_edu_dedup"), "row_id", "text")})
+    return mixing.mix(t("jobs"), {"code_files": (t("code_files"), "file_id", "content"), "cosmopedia_v2": (t("cosmopedia_v2"), "row_id", "text"), "fineweb_edu_dedup": (t("fineweb_edu_dedup"), "row_id", "text")}, **how)
 
 
 def p5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +36,13 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.share_report(*_mix(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_mix": p5_mix, "p5_shares": p5_shares}
+def p5_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix of a given size whose exponent is bisected to the entropy and within the repeat caps."""
+    report = mixing.share_report(*_mix(spark, sf_dir, total_bytes=MIX_BYTES, min_entropy=MIX_ENTROPY, within_caps=True))
+    return report.select("job", F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"), "budget_bytes", "mixed_bytes", "most_uses", F.round("reached_share", 6).alias("reached_share"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_mix": p5_mix, "p5_shares": p5_shares, "p5_tempered": p5_tempered}
 
 _TOTAL = "SELECT sum(cnt) FROM agg_chunks WHERE chunk IS NOT NULL AND cnt > 0"
 SQL = {

@@ -31,6 +31,11 @@ def test_temperature_is_bisected():
     assert 249 <= plan[0]["budget_bytes"] <= 250
 
 
+def test_exponent_within_caps():
+    plan = m.plan_mix([job("a", 90, 600), job("b", 10, 1000)], total_bytes=1000, within_caps=True)
+    assert plan[0]["exponent"] < 1 and [p["budget_bytes"] for p in plan] == [600, 400]
+
+
 def test_no_jobs():
     assert m.plan_mix([]) == []
 
