@@ -6,6 +6,7 @@ a few merges, which is a parameter of the feature and no cut of the rows.
 
 from __future__ import annotations
 
+import os
 import tempfile
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.bytetext import byte_alphabet, format_bytes_column, to_word, token_char
 from lexloom.functions.pretok import by_regex, digits, parse_spec
 from lexloom.functions.specials import PRESETS, SpecialTokens, segments
-from lexloom.operators import chunks, encode, evaluate, export, merges, ordered
+from lexloom.operators import chunks, compare, encode, evaluate, export, merges, ordered
 from lexloom.session import materialize, shared_dir, spread, table
 from lexloom.sources import text as sources
 
@@ -322,6 +323,16 @@ def rank_per_category(spark, d):
     return evaluate.ranked(per_category(spark, d)).select("category", "tokenizer", "place")
 
 
+def compare_tokenizers(spark, d):
+    """Public tokenizers on the corpus; their folder is LEXLOOM_TOKENIZERS, files that aren't there are left out."""
+    folder = os.environ.get("LEXLOOM_TOKENIZERS", "/opt/tokenizers")
+    gpt2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    known = {"byte_bpe_50k": compare.Loader("ranks", f"{folder}/byte_bpe_50k.tiktoken", gpt2), "word_bpe_49k": compare.Loader("hf", f"{folder}/word_bpe_49k.json"), "piece_bpe_32k": compare.Loader("piece", f"{folder}/piece_bpe_32k.model")}
+    there = {n: x for n, x in known.items() if os.path.exists(x.path)}
+    rows = spread(docs(spark, d).select("category", "text"))
+    return compare.compare(rows, "category", "text", there).drop("encode_seconds").withColumn("chars_per_tok", F.round("chars_per_tok", 6))
+
+
 def validate_scan(spark, d):
     return docs(spark, d).where("text is not null").agg(F.count("*").alias("texts"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
 
@@ -339,6 +350,6 @@ QUERIES = {
     "pair_counts": pair_counts, "pair_index": pair_index, "top_pairs": top_pairs, "merge_step": merge_step, "bpe_train": bpe_train, "train_full": train_full, "top_merges": top_merges, "vocab_sweep": vocab_sweep,
     "special_ids": special_ids, "byte_alphabet": byte_alphabet_query, "mergeable_ranks": mergeable_ranks, "tiktoken_lines": tiktoken_lines,
     "encode_tokens": encode_tokens, "decode_roundtrip": decode_roundtrip, "roundtrip_report": roundtrip_report, "whitespace_coverage": whitespace_coverage, "special_atomicity": special_atomicity, "vocab_composition": vocab_composition,
-    "tokens_by_category": tokens_by_category, "chars_per_token": chars_per_token, "macro_geomean": macro_geomean, "best_per_category": best_per_category, "rank_per_category": rank_per_category,
+    "tokens_by_category": tokens_by_category, "chars_per_token": chars_per_token, "macro_geomean": macro_geomean, "best_per_category": best_per_category, "rank_per_category": rank_per_category, "compare_tokenizers": compare_tokenizers,
     "validate_scan": validate_scan, "format_bytes": format_bytes,
 }

@@ -7,28 +7,43 @@ import itertools
 import json
 import logging
 import os
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.ordered import byte_budget, running_sum
+from lexloom.session import shared_dir
 
 log = logging.getLogger(__name__)
 
 SEPARATOR = "\n<|endoftext|>\n"
 
 
-def from_iterable(spark: SparkSession, texts: Iterable[str], buffer_size: int = 8192) -> DataFrame:
-    """``seq, text`` of any iterable of str, read in buffers; other types raise TypeError, errors pass through."""
-    parts, start, it = [], 0, iter(texts)
-    while rows := list(itertools.islice(it, buffer_size)):
-        for r in rows:
-            if not isinstance(r, str):
-                raise TypeError(f"expected str, got {type(r).__name__}")
-        parts.append([(start + k, r) for k, r in enumerate(rows)])
-        start += len(rows)
-    return spark.createDataFrame(list(itertools.chain.from_iterable(parts)), "seq long, text string")
+def from_iterable(spark: SparkSession, texts: Iterable[str], buffer_size: int = 8192, part_chars: int = 64 << 20) -> DataFrame:
+    """``seq, text`` of any iterable of str; other types raise TypeError, the iterable's errors pass through.
+
+    The driver holds one part of about ``part_chars`` at a time; parts of longer iterables are
+    written to the shared folder.
+    """
+    schema, path, seq = "seq long, text string", None, 0
+    rows: list[tuple[int, str]] = []
+    held, it = 0, iter(texts)
+    while buffer := list(itertools.islice(it, buffer_size)):
+        for t in buffer:
+            if not isinstance(t, str):
+                raise TypeError(f"expected str, got {type(t).__name__}")
+            rows.append((seq, t))
+            seq, held = seq + 1, held + len(t)
+        if held >= part_chars:
+            path = path or f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+            rows, held = [], 0
+    if path is None:
+        return spark.createDataFrame(rows, schema)
+    spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def from_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

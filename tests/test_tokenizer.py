@@ -10,7 +10,7 @@ from tokenizers import Tokenizer as Loaded
 from lexloom import cli
 from lexloom.functions.specials import SpecialTokens
 from lexloom.memory import MemoryMonitor
-from lexloom.operators import chunks, encode, evaluate, export, ordered
+from lexloom.operators import chunks, compare, encode, evaluate, export, ordered
 from lexloom.operators.merges import Merge
 from lexloom.sources import text as sources
 from lexloom.tokenizer import Tokenizer
@@ -189,6 +189,24 @@ def test_evaluation(spark):
     assert [r[0] for r in df.select(evaluate.first_difference(F.col("a"), F.col("b"))).collect()] == [2, 2, 0, None]
 
 
+def test_comparison(spark, tok, tmp_path):
+    tok.save_huggingface(str(tmp_path))
+    tok.save_tiktoken(str(tmp_path))
+    both = {"json": compare.Loader("hf", str(tmp_path / "tokenizer.json")), "ranks": compare.Loader("ranks", str(tmp_path / "tiktoken.bpe"), tok.get_pattern())}
+    df = spark.createDataFrame([("a", "hello world"), ("a", None), (None, "x" * 50), ("b", "")], "category string, text string")
+    got = {(r["tokenizer"], r["category"]): (r["vocab_size"], r["n_chars"], r["n_tokens"], r["chars_per_tok"]) for r in compare.compare(df, "category", "text", both, most_chars=20).collect()}
+    assert got["json", "a"][1:] == got["ranks", "a"][1:] == (11, len(tok.encode("hello world")), 11 / len(tok.encode("hello world")))
+    assert got["ranks", None][1] == 20 and got["json", "b"][1:] == (0, 0, 0.0) and got["ranks", "a"][0] == tok.vocab_size
+    with pytest.raises(ValueError):
+        compare.load(compare.Loader("x", "y"))
+
+
+def test_long_iterables(spark):
+    texts = [f"row {k} " * 5 for k in range(300)]
+    rows = sources.from_iterable(spark, iter(texts), buffer_size=50, part_chars=1000).collect()
+    assert [r["text"] for r in sorted(rows)] == texts
+
+
 def test_memory_monitor():
     with MemoryMonitor(warn_at=1, interval=0.01) as m:
         pass
