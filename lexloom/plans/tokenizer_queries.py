@@ -7,7 +7,7 @@ a few merges, which is a parameter of the feature and no cut of the rows.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from lexloom.functions.bytetext import byte_alphabet, format_bytes_column, to_wo
 from lexloom.functions.pretok import by_regex, digits, parse_spec
 from lexloom.functions.specials import PRESETS, SpecialTokens, segments
 from lexloom.operators import chunks, compare, encode, evaluate, export, merges, ordered
-from lexloom.session import materialize, shared_dir, spread, table
+from lexloom.session import file_system, materialize, shared_dir, spread, table
 from lexloom.sources import text as sources
 
 MERGES = 12
@@ -67,11 +67,13 @@ def scan_parquet_prune(spark, d):
 
 
 def scan_lines(spark, d):
-    folder = tempfile.mkdtemp(prefix="lexloom-lines-")
-    path = f"{folder}/sample.txt"
-    with open(path, "wb") as f:
-        f.write(b"one\r\ntwo\rstill two\n\nbad \xff byte\nlast without end")
-    return sources.from_lines(spark, [path, f"{folder}/missing.txt"])
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}.txt"
+    fs, at = file_system(spark, path)
+    out = fs.create(at)
+    out.write(bytearray(b"one\r\ntwo\rstill two\n\nbad \xff byte\nlast without end"))
+    out.close()
+    fs.deleteOnExit(at)
+    return sources.from_lines(spark, [path, f"{path}.missing"])
 
 
 def html_doc_split(spark, d):
@@ -157,7 +159,7 @@ def stored_merge_counts(spark, d):
 
 def agg_roundtrip(spark, d):
     c = materialize(counts(spark, d))
-    path = f"{shared_dir(spark)}/artifact-{spark.sparkContext.applicationId}"
+    path = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
     stats = {"total_bytes": 0, "total_sequences": 0, "total_chunks": c.agg(F.sum("cnt")).first()[0] or 0}
     chunks.write_artifact(c, path, "gpt4", parse_spec("gpt4").pattern, SPECIALS, stats)
     return chunks.read_artifact(spark, path)[0]
@@ -166,8 +168,6 @@ def agg_roundtrip(spark, d):
 def stream_counts(spark, d):
     from lexloom.streaming.chunk_stream import count_stream, running_counts
 
-    import uuid
-
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs(spark, d).select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")

@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"lexloom-{os.getuid()}")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path of any kind."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -46,9 +53,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexloom_path = path
@@ -59,9 +65,8 @@ def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for exactly this DataFrame; nothing may read it any more."""
     path = getattr(df, "_lexloom_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = file_system(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def spread(df: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:

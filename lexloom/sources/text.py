@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators.ordered import byte_budget, running_sum
-from lexloom.session import shared_dir
+from lexloom.session import file_system, shared_dir
 
 log = logging.getLogger(__name__)
 
@@ -54,13 +54,14 @@ def from_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """
     there = []
     for p in paths:
-        if os.path.exists(p):
+        fs, at = file_system(spark, p)
+        if fs.exists(at):
             there.append(p)
         else:
             log.warning("can't open %s; skipped", p)
     if not there:
         return spark.createDataFrame([], "text string")
-    rows = spark.read.option("lineSep", "\n").text(there)
+    rows = spark.read.option("lineSep", "\n").text(there)  # paths of any file system the executors share
     return rows.where(F.is_valid_utf8("value")).select(F.regexp_replace("value", "\r$", "").alias("text"))
 
 
