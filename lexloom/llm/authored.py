@@ -38,15 +38,15 @@ from pyspark.sql import functions as F
 NOTICE_WORDS = {
     "made": (
         "generated", "auto-generated", "autogenerated", "auto generated", "machine-generated", "machine generated", "@generated", "<auto-generated", "produced by", "emitted by", "written by the tool", "output of", "created by", "compiled from",
-        "automatically created", "automatically produced", "generado", "generada", "autogenerado", "producido por", "creado autom", "généré", "genere par", "autogénéré", "produit par", "créé autom", "erzeugt", "generiert", "erstellt von", "automatisch erstellt", "generato", "gerado",
+        "automatically created", "automatically produced", "automatically written", "generado", "generada", "autogenerado", "producido por", "creado autom", "généré", "genere par", "autogénéré", "produit par", "créé autom", "erzeugt", "generiert", "erstellt von", "automatisch erstellt", "generato", "gerado",
     ),
     "off": (
-        "do not edit", "do not modify", "do not change", "don't edit", "don't modify", "not edit by hand", "edit by hand", "modify by hand", "instead of editing", "not be edited", "not be modified", "manual changes", "will be lost", "will be overwritten", "is overwritten", "are overwritten", "get overwritten",
+        "do not edit", "do not modify", "do not change", "don't edit", "don't modify", "not edit by hand", "edit by hand", "modify by hand", "instead of editing", "not be edited", "not be modified", "manual changes", "will be lost", "are lost", "will be overwritten", "is overwritten", "are overwritten", "get overwritten",
         "regenerate", "any changes", "all changes", "no editar", "no modificar", "no edite", "no modifique", "se perder", "sobrescri", "ne pas modifier", "ne pas éditer", "ne modifiez pas", "seront perdues", "sera écrasé", "seront écrasé", "nicht bearbeiten", "nicht ändern", "nicht von hand", "nicht editieren",
         "gehen verloren", "überschrieben", "non modificare", "não edite",
     ),
     "origin": (
-        "(c)", "©", "copyright", "license", "licence", "vendored", "imported from", "bundled", "upstream", "release", "source tree", "authors", "contributors", "third-party", "third party", "redistribut", "taken from", "copied from", "derived from", "based on", "mirror of", "homepage", "package", "distribution", "tag v", "spdx",
+        "(c)", "©", "copyright", "license", "licence", "vendored", "imported from", "bundled", "upstream", "release", "source tree", "authors", "contributors", "third-party", "third party", "redistribut", "taken from", "copied from", "derived from", "based on", "mirror of", "homepage", "package", "distributed", "distribution", "tag v", "spdx", "mit", "://", "forked from", "unmodified",
     ),
 }
 #: Marks that only program generators write. Two different ones, or one many times, are needed.
@@ -60,12 +60,18 @@ MINIFIED_NAME = re.compile(r"([.-](min|bundle|chunk|pack|prod)(\.[0-9a-f]{6,})?\
 COMMENT = re.compile(r"^\s*(//+|#+!?|/\*+!?|\*+|--|<!--|;+|%+|\"\"\"|'''|rem\b)\s?(.*?)\s*(\*/|-->|\"\"\"|''')?\s*$", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'|`(?!make)[^`]*`|“[^”]*”|„[^“]*“|«[^»]*»")
 VERSION = re.compile(r"(?<![\w.])v?\d+\.\d+(\.\d+)*(-?(alpha|beta|rc)\d*)?(?![\w])")
+_THING = r"(file|class|code|source|module|header|script|document|unit|package|program|interface|stub|binding)s?"
 SELF_MADE = re.compile(
-    r"^\W*((note|warning|attention|achtung|aviso|caution|important)\W+)?(@generated\b|<auto-?generated|(auto[- ]?|machine[- ]?)?generated (by|from|with|using|automatically)\b|code generated\b|autogenerated\b"
-    r"|(this|the) (\w+ )?(file|class|code|source|module|header|script|document|unit|package|program)?\b.{0,40}\b(is|was|has been|are|were) (\w+ )?(auto[- ]?|machine[- ]?)?(generated|produced|created|emitted|written) (\w+ )?(by|from|with|using)\b"
-    r"|(produced|emitted) by\b|(este )?(archivo|fichero|código) (\w+ ){0,3}generado|(ce )?(fichier|code) (\w+ ){0,3}(généré|produit)|(diese |dieser )?(datei|code|quelltext) .{0,60}(erzeugt|generiert|erstellt)|automatisch (erzeugt|generiert)|généré automatiquement|generado automáticamente)",
+    r"^\W*((note|warning|attention|achtung|aviso|caution|important)\W+)?("
+    r"@generated\b|<auto-?generated|(auto[- ]?|machine[- ]?)?generated (by|from|with|using|automatically)\b|autogenerated\b|auto[- ]generated\b|machine[- ]generated\b|automatically (generated|created|produced|written) (by|from|with|using)\b"
+    rf"|(\w+ )?{_THING} (auto\w*[- ]?)?generated (by|from|with|using)\b|code generated\b|this is an? (auto\w*[- ]?|machine[- ]?)?generated\b"
+    rf"|(this|the) (\w+ )?{_THING}\b.{{0,40}}\b(is|was|has been|are|were) (\w+ )?(auto[- ]?|machine[- ]?)?(generated|produced|emitted) (\w+ )?(by|from|with|using)\b|this (is|was|has been) (\w+ )?(auto[- ]?|machine[- ]?)?generated\b"
+    r"|(produced|emitted) by\b|(este |el )?(archivo|fichero|código) (\w+ ){0,3}generado|(ce |le )?(fichier|code) (\w+ ){0,3}(généré|produit)|(diese |dieser |die |der )?(datei|code|quelltext) .{0,60}(erzeugt|generiert|erstellt)|automatisch (erzeugt|generiert)|généré automatiquement|generado automáticamente)",
     re.I,
 )
+ORIGIN_STRONG = re.compile(r"(?i)\(c\)|©|copyright|@licen[cs]e|vendored|imported from|bundled (copy|version)|\bupstream\b|source tree|\bauthors\b|contributors|spdx|redistribut|(taken|copied|forked) from|mirror of|unmodified|local changes")
+LICENCE_VERSION = re.compile(r"(?i)\b(licen[cs]es?|apache|[al]?gpl|mpl|epl|bsd|cc[- ]by\S*)\b[ ,-]*(licen[cs]e)?[ ,]*(v|version)?[ .-]*\d+(\.\d+)*")
+LIBRARY = re.compile(r"(?i)^\W*[\w.@/-]{2,40}( (javascript|js|css|library|lib|runtime|toolkit|framework))* v?\d+\.\d+(\.\d+)?\s*([|(;:,–-]|$)")
 DATA_ATOM = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[+-]?(?:0x[0-9a-f]+|\d+(?:\.\d+)?(?:e[+-]?\d+)?)[a-z%]*|[^\W\d_]+(?:[ '-][^\W\d_]+)*", re.I)
 LONG_LITERAL = re.compile(r"[A-Za-z0-9+/=_-]{400,}|[0-9a-fA-F\s]{800,}|(?:\\x[0-9a-fA-F]{2}){100,}")
 HEAD_LINES, TAIL_LINES = 20, 6
@@ -130,7 +136,8 @@ def notice_kind(lines: list[str]) -> str | None:
             recent = [(k, g) for k, g in recent if n - k <= 2] + [(n, g) for g in groups if g != "origin"]
             if {g for _, g in recent} == {"made", "off"} and len(bare) < 160:
                 return "generated"
-        if "origin" in groups and found is None and VERSION.search(bare) and len(bare) < 240 and "part of" not in bare.lower():
+        plain = LICENCE_VERSION.sub(" ", bare)
+        if "origin" in groups and found is None and len(bare) < 240 and VERSION.search(plain) and "part of" not in bare.lower() and (ORIGIN_STRONG.search(bare) or LIBRARY.search(plain)):
             found = "vendored"
     return found
 

@@ -34,6 +34,33 @@ def test_kinds(path, text, kind):
     assert a.file_kind(path, text) == kind
 
 
+@pytest.mark.parametrize(
+    "notice",
+    [
+        "// AUTO-GENERATED FILE. DO NOT MODIFY.", "/* DO NOT EDIT THIS FILE - it is machine generated */", "# Generated by Toolx 4.2 on 2023-01-01 12:00", "/* Automatically generated by Toolx */", "// This code was generated by a tool.", "// <auto-generated/>",
+        "// Fichier généré automatiquement par X, ne pas modifier", "# WARNING! All changes made in this file will be lost!", "// Este código fue generado por una herramienta. No modificar.", "# Automatically created by X; manual edits are lost",
+    ],
+)
+def test_generation_notices(notice):
+    assert a.file_kind("a.py", notice + "\n" + HAND) == "generated"
+
+
+@pytest.mark.parametrize(
+    "comment",
+    [
+        "# utility to generate reports", "# the token is generated by auth", "# Script that writes auto-generated headers", "# Copyright 2020 Example Corp, licensed under Apache 2.0", "# requires library version 2.3.1 or newer", "# see release notes 1.2.3 for changes",
+        "# This module was created by the data team in 2019", "# tested with release 2.4.1 of the server", "// do not edit the config by hand, use the UI",
+    ],
+)
+def test_comments_of_people(comment):
+    assert a.file_kind("a.py", comment + "\n" + HAND) is None
+
+
+@pytest.mark.parametrize("notice", ["/*! lodashx 4.17.21 | MIT */", "// underx 1.13.6 - https://underx.example - distributed under MIT", "# vendored copy of six 1.16.0"])
+def test_release_notices(notice):
+    assert a.file_kind("a.js", notice + "\n" + HAND) == "vendored"
+
+
 def test_mark_and_line_ends_do_not_matter():
     text = "# @generated by x\n" + HAND
     assert a.file_kind("a.py", "﻿" + text.replace("\n", "\r\n")) == "generated"
