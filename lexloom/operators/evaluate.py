@@ -40,6 +40,23 @@ def ranked(per_category: DataFrame, category: str = "category", tokenizer: str =
     return per_category.withColumn("place", F.row_number().over(W.partitionBy(category).orderBy(F.col("chars_per_token").desc(), F.col(tokenizer))))
 
 
+def report_order(macro_rows: DataFrame, own: list[str], tokenizer: str = "tokenizer") -> DataFrame:
+    """Rows of a report: one's own tokenizers first, then by macro compression; as many rows as tokenizers."""
+    return macro_rows.orderBy(F.when(F.col(tokenizer).isin(own), 0).otherwise(1), F.col("macro_chars_per_token").desc(), F.col(tokenizer))
+
+
+def round_trip(rows: DataFrame, text: str = "text", back: str = "back", n_tokens: str = "n_tokens") -> DataFrame:
+    """One row: texts, how many came back as they were, and characters per token of those."""
+    same = F.col(text) == F.col(back)
+    chars, tokens = F.sum(F.when(same, F.length(text))), F.sum(F.when(same, F.col(n_tokens)))
+    return rows.agg(F.count("*").alias("texts"), F.count_if(same).alias("passed"), F.round(F.coalesce(chars_per_token(chars, tokens), F.lit(0.0)), 6).alias("chars_per_token"))
+
+
+def failures(rows: DataFrame, key: str, text: str = "text", back: str = "back") -> DataFrame:
+    """``key, first_difference`` of the texts that came back changed."""
+    return rows.where(~F.col(text).eqNullSafe(F.col(back))).select(key, first_difference(F.col(text), F.col(back)).alias("first_difference"))
+
+
 def first_difference(a: Column, b: Column) -> Column:
     """Position (from 0) of the first differing character; null if equal."""
     n = F.least(F.length(a), F.length(b))

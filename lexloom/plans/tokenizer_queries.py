@@ -26,6 +26,8 @@ WORDS = r"[A-Za-z]+|[0-9]+"
 BUDGET = 200_000
 SPECIALS = SpecialTokens(dict.fromkeys(PRESETS["code"] + PRESETS["chat"]))
 GPT4, GPT4_DIGITS = parse_spec("gpt4").build, parse_spec("gpt4+digits").build
+# Short samples to look at.
+SANITY = ["def __init__(self):", "import numpy as np", "for i in range(10):", "    return self.value"]
 WHITESPACE = ["    ", "        ", "\t", "\n    ", "\n        ", "\n\t", "\n\n"]
 
 
@@ -257,10 +259,10 @@ def decode_roundtrip(spark, d):
 
 def roundtrip_report(spark, d):
     found = trained(spark, d)
-    ids = encode.encode(texts(spark, d), "doc_id", "text", found, GPT4, SPECIALS)
+    ids = materialize(encode.encode(texts(spark, d), "doc_id", "text", found, GPT4, SPECIALS))
     back = encode.decode(ids, "doc_id", "ids", found, SPECIALS).withColumnRenamed("text", "back")
-    both = docs(spark, d).select("doc_id", "text").where("text is not null").join(back, "doc_id")
-    return both.agg(F.count("*").alias("texts"), F.count_if(F.col("text") == F.col("back")).alias("passed"))
+    both = docs(spark, d).select("doc_id", "text").where("text is not null").join(back, "doc_id").join(ids.select("doc_id", F.size("ids").alias("n_tokens")), "doc_id")
+    return evaluate.round_trip(both)
 
 
 def _single(spark, d, texts):
@@ -273,6 +275,16 @@ def whitespace_coverage(spark, d):
     return _single(spark, d, WHITESPACE)
 
 
+def sanity_encodes(spark, d):
+    return _single(spark, d, SANITY)
+
+
+def report_order(spark, d):
+    """Place of each tokenizer in the report, bytes alone counted as one's own."""
+    rows = evaluate.macro(per_category(spark, d)).withColumn("own", F.col("tokenizer") == "bytes")
+    return ordered.row_numbers(rows, [F.col("own").desc(), F.col("macro_chars_per_token").desc()], "place").select("place", "tokenizer")
+
+
 def special_atomicity(spark, d):
     return _single(spark, d, SPECIALS.tokens)
 
@@ -349,7 +361,7 @@ QUERIES = {
     "stored_merge_counts": stored_merge_counts, "agg_roundtrip": agg_roundtrip, "stream_counts": stream_counts,
     "pair_counts": pair_counts, "pair_index": pair_index, "top_pairs": top_pairs, "merge_step": merge_step, "bpe_train": bpe_train, "train_full": train_full, "top_merges": top_merges, "vocab_sweep": vocab_sweep,
     "special_ids": special_ids, "byte_alphabet": byte_alphabet_query, "mergeable_ranks": mergeable_ranks, "tiktoken_lines": tiktoken_lines,
-    "encode_tokens": encode_tokens, "decode_roundtrip": decode_roundtrip, "roundtrip_report": roundtrip_report, "whitespace_coverage": whitespace_coverage, "special_atomicity": special_atomicity, "vocab_composition": vocab_composition,
+    "encode_tokens": encode_tokens, "decode_roundtrip": decode_roundtrip, "roundtrip_report": roundtrip_report, "whitespace_coverage": whitespace_coverage, "sanity_encodes": sanity_encodes, "report_order": report_order, "special_atomicity": special_atomicity, "vocab_composition": vocab_composition,
     "tokens_by_category": tokens_by_category, "chars_per_token": chars_per_token, "macro_geomean": macro_geomean, "best_per_category": best_per_category, "rank_per_category": rank_per_category, "compare_tokenizers": compare_tokenizers,
     "validate_scan": validate_scan, "format_bytes": format_bytes,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from lexloom.plans.tokenizer_queries import BUDGET, MERGES, SPECIALS, TOP, WHITESPACE, WORDS
+from lexloom.plans.tokenizer_queries import BUDGET, MERGES, SANITY, SPECIALS, TOP, WHITESPACE, WORDS
 from lexloom.sources.text import SEPARATOR
 
 _BLANK_LINE = r"\x{0B}\x{0C} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\t"
@@ -88,7 +88,12 @@ def _listed(texts) -> str:
 _OWN = "regexp_replace(hex(encode(c)), '(..)', '<00\\1>', 'g')"
 for _k in range(1, MERGES + 1):
     _OWN = f"replace({_OWN}, (SELECT p FROM m{_k}), '<{255 + _k:04X}>')"
-_COVERAGE = f"{TRAINED}, own AS (SELECT pattern, unnest({gpt4('text')}) AS c FROM ({_listed(WHITESPACE)})) SELECT CAST(pattern AS INTEGER) AS pattern, CAST(sum(length({_OWN}) // 6) AS BIGINT) AS n_tokens, sum(length({_OWN}) // 6) = 1 AS single FROM own GROUP BY pattern"
+
+
+def _coverage(texts) -> str:
+    return f"{TRAINED}, own AS (SELECT pattern, unnest({gpt4('text')}) AS c FROM ({_listed(texts)})) SELECT CAST(pattern AS INTEGER) AS pattern, CAST(sum(length({_OWN}) // 6) AS BIGINT) AS n_tokens, sum(length({_OWN}) // 6) = 1 AS single FROM own GROUP BY pattern"
+
+
 _LETTERS = "CASE WHEN b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 THEN chr(CAST(b AS INTEGER)) ELSE chr(CAST(256 + row_number() OVER (PARTITION BY b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b BETWEEN 174 AND 255 ORDER BY b) - 1 AS INTEGER)) END"
 _SEP = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in re.findall(r"[^\n]+|\n", SEPARATOR))
 _BYTES = "octet_length(encode(text))"
@@ -137,8 +142,10 @@ SQL = {
     "tiktoken_lines": f"{TRAINED}, {_RANKS} SELECT id, to_base64(unhex(token_hex)) || ' ' || id AS line FROM ranks",
     "encode_tokens": f"{TRAINED}, {_TOKENS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_id('substr(w, pos * 6 + 2, 4)')} AS token_id FROM (SELECT doc_id, w, unnest(range(0, length(w) // 6)) AS pos FROM texts)",
     "decode_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
-    "roundtrip_report": "SELECT count(*) AS texts, count(*) AS passed FROM documents WHERE text IS NOT NULL",
-    "whitespace_coverage": _COVERAGE,
+    "roundtrip_report": f"{_SIZES} SELECT count(*) AS texts, count(*) AS passed, round(CAST(sum(n_chars) AS DOUBLE) / sum(merged), 6) AS chars_per_token FROM rows_",
+    "whitespace_coverage": _coverage(WHITESPACE),
+    "sanity_encodes": _coverage(SANITY),
+    "report_order": "SELECT CAST(p AS BIGINT) AS place, t AS tokenizer FROM (VALUES (0, 'bytes'), (1, 'merged')) v(p, t)",
     "special_atomicity": f"SELECT CAST(i AS INTEGER) AS pattern, CAST(1 AS BIGINT) AS n_tokens, true AS single FROM (SELECT unnest(range(0, {len(SPECIALS.tokens)})) AS i)",
     "vocab_composition": f"{TRAINED}, {_RANKS}, {_TOKENS}, names AS (SELECT id, length(token_hex) // 2 AS n FROM ranks UNION ALL SELECT id, octet_length(encode(token)) FROM special_ids) SELECT token_id, CAST(count(*) AS BIGINT) AS uses, CAST(any_value(n) AS INTEGER) AS n_bytes FROM (SELECT {_id('substr(w, pos * 6 + 2, 4)')} AS token_id FROM (SELECT w, unnest(range(0, length(w) // 6)) AS pos FROM texts)) t JOIN names ON token_id = names.id GROUP BY token_id",
     "tokens_by_category": f"{_SIZES} SELECT tokenizer, category, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM long_ GROUP BY tokenizer, category UNION ALL SELECT tokenizer, NULL, CAST(sum(n_tokens) AS BIGINT) FROM long_ GROUP BY tokenizer",
