@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,24 +84,30 @@ class ChunkEncoder(dict):
         return ids
 
 
+def laid_out(pieces: list, index: np.ndarray, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays ``pieces[i] for i in index`` end to end, and where each ends."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    flat = np.concatenate([np.asarray(x, dtype) for x in pieces]) if len(pieces) else np.zeros(0, dtype)
+    first = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes[index])
+    at = np.repeat(first[index] - (ends - sizes[index]), sizes[index]) + np.arange(ends[-1] if len(ends) else 0)
+    return flat[at], ends
+
+
 def _encode(table, special_ids: dict[str, int]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = ChunkEncoder(table.value)
         for b in batches:
-            parts = b.column(1)
-            chunks, offsets = parts.flatten(), parts.offsets.to_numpy()
-            texts, special = chunks.field(0).to_pylist(), chunks.field(1).to_pylist()
-            base = offsets[0]
-            flat, ends = [], [0]
-            for a, z in zip(offsets[:-1] - base, offsets[1:] - base):
-                for k in range(a, z):
-                    if special[k]:
-                        flat.append(special_ids[texts[k]])
-                    else:
-                        flat.extend(look[texts[k]])
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["key", "ids"])
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                parts = part.column(1)
+                words = parts.flatten().dictionary_encode()
+                # no ordinary chunk can be a special: those are cut out of texts before
+                pieces = [[special_ids[w]] if w in special_ids else look[w] for w in words.dictionary.to_pylist()]
+                flat, ends = laid_out(pieces, words.indices.to_numpy(), np.int32)
+                offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends])[offsets].astype(np.int32)), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     return go
 
@@ -108,13 +115,10 @@ def _encode(table, special_ids: dict[str, int]):
 def encode(df: DataFrame, key: str, text: str, merges: list[Merge], pretok: PreTokenizer, specials: SpecialTokens | None = None) -> DataFrame:
     """``key, ids``; null and empty texts have no ids."""
     specials = specials or SpecialTokens()
-    segs = segments(F.col(text), specials)
-    one = lambda c, s: F.struct(c.alias("chunk"), F.lit(s).alias("special"))
-    parts = F.flatten(F.transform(segs, lambda s: F.when(s["special"], F.array(one(s["seg"], True))).otherwise(F.transform(pretok(s["seg"]), lambda c: one(c, False)))))
-    empty = F.array().cast("array<struct<chunk:string,special:boolean>>")
+    parts = F.flatten(F.transform(segments(F.col(text), specials), lambda s: F.when(s["special"], F.array(s["seg"])).otherwise(pretok(s["seg"]))))
     table = df.sparkSession.sparkContext.broadcast(merges)
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.coalesce(parts, empty).alias("parts"))
+    rows = df.select(F.col(key).alias("key"), F.coalesce(parts, F.array().cast("array<string>")).alias("parts"))
     return rows.mapInArrow(_encode(table, specials.ids(256 + len(merges))), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
@@ -132,10 +136,26 @@ def decode_ids(ids: list[int], names: list[bytes]) -> str:
 
 def _decode(names):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = names.value
+        known = [np.frombuffer(n, np.uint8) for n in names.value]
         for b in batches:
-            texts = [None if ids is None else decode_ids(ids, known) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                lists = part.column(1)
+                ids = lists.flatten()
+                if ids.null_count:
+                    raise ValueError("Unknown token id: None")
+                ids = ids.to_numpy()
+                wrong = ids[(ids < 0) | (ids >= len(known))]
+                if len(wrong):
+                    raise ValueError(f"Unknown token id: {wrong[0]}")
+                flat, ends = laid_out(known, ids, np.uint8)
+                # null lists have no ids of their own; they come back as null texts
+                rows = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+                offsets = np.concatenate([[0], ends])[rows]
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
+                texts = raw.cast(pa.large_string()).cast(pa.string())  # fails on bytes that aren't UTF-8
+                texts = pa.compute.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["key", "text"])
 
     return go
 

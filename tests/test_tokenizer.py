@@ -47,6 +47,18 @@ def test_decode_is_strict(tok):
         tok.decode([195])
 
 
+def test_decode_tables(spark, tok):
+    rows = [(1, tok.encode("héllo")), (2, None), (3, []), (4, tok.encode("文字"))]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1)
+    assert {r["k"]: r["text"] for r in tok.decode_dataframe(df, "k", "ids").collect()} == {1: "héllo", 2: None, 3: "", 4: "文字"}
+    for bad in ([99_999], [-1], [195], [None]):
+        with pytest.raises(Exception, match="Unknown token id|UTF"):
+            tok.decode_dataframe(spark.createDataFrame([(1, bad)], "k int, ids array<int>"), "k", "ids").collect()
+    halves = spark.createDataFrame([(1, [195]), (2, [169])], "k int, ids array<int>").coalesce(1)
+    with pytest.raises(Exception, match="UTF"):
+        tok.decode_dataframe(halves, "k", "ids").collect()
+
+
 def test_long_chunks_as_short_ones():
     rng = random.Random(3)
     e = encode.ChunkEncoder([Merge(k, 256 + k, *p, 1) for k, p in enumerate([(97, 97), (98, 97), (256, 256), (257, 98), (97, 98), (258, 97)])])
