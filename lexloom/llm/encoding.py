@@ -128,15 +128,19 @@ class PrefixEncoder:
         """Find last[i] for every i > known, from tokens that begin at ``begin`` or later."""
         piece, last, v = bytes(self.piece), self.last, self.v
         ranks, opened, may_follow, n, widest = v.ranks, v.open, v.may_follow, len(piece), v.longest
+        unset = known + 1  # every position before it has its token
         for i in range(begin, n):
-            before = last[i]
             if i and stop and stop(i):
                 return
-            for j in range(i + 1, min(n, i + widest) + 1):
+            while unset <= n and last[unset] >= 0:
+                unset += 1
+            before = last[i]
+            for j in range(max(unset, i + 1), min(n, i + widest) + 1):
                 part = piece[i:j]
-                token = ranks.get(part)
-                if token is not None and j > known and last[j] < 0 and (not i or may_follow(before, token)):
-                    last[j] = token
+                if last[j] < 0:
+                    token = ranks.get(part)
+                    if token is not None and (not i or may_follow(before, token)):
+                        last[j] = token
                 if part not in opened:
                     break
 

@@ -46,7 +46,7 @@ SIDE = 20  # half width of the word band
 MARGIN = 60  # words of the document looked at on either side of the hits
 SLICE_CHARS = 8_000_000
 _BITS = 22
-_ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|[nrtbf0])")
+_ESCAPE = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|[nrtbf0])")
 _NUMBERED = re.compile(r"(?m)^[ >|]{0,6}(\d{1,5})[ |:.)\t][^\n]*\n[ >|]{0,6}\d{1,5}[ |:.)\t][^\n]*\n[ >|]{0,6}\d{1,5}[ |:.)\t]")
 _LINE_NUMBER = re.compile(r"(?m)^[ >|]{0,6}\d{1,5}[|:.)]?(?=[ \t]|$)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,2000}>")
