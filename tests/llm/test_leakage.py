@@ -76,3 +76,8 @@ def test_very_long_document(spark):
 @pytest.mark.parametrize("text", [None, "", "A&amp;amp;B", "\\u0041\\nb"])
 def test_normal_form(text):
     assert k.normal(text) == {None: "", "": "", "A&amp;amp;B": "a&b", "\\u0041\\nb": "a b"}[text]
+
+
+def test_long_runs_of_one_character():
+    for c in ("\\", "&", "<a ", "1 \n", "-"):
+        assert k.holds([c * 200_000], k.Items([1], [sentence(ITEM)], set())) == []
