@@ -4,8 +4,9 @@
    secret, credentials in URLs, headers, calls, command lines, connection strings and comments,
    provider formats, and private key blocks. An automaton over a file's lower-cased text finds the
    anchors; expressions run only around them.
-2. *Suppress.* Values that many owners (repositories) share are placeholders, however they look.
-   Known placeholder wordings, references to variables or secret stores, bare markers and names
+2. *Suppress.* Values that many owners (repositories) share are placeholders: an unstructured one if
+   its owners, counted over distinct contents, are too many (all copies of a text are one owner), a
+   structured one only if it also holds a word of placeholders, a provider's format never. Known placeholder wordings, references to variables or secret stores, bare markers and names
    never become candidates.
 3. *Confirm.* Of the rest, values that are structured (a token of letters and digits, long enough
    not to occur by chance) are confirmed.
@@ -70,6 +71,8 @@ REFERENCE = re.compile(
     | !\w+.* | enc\[.* | \S+@\S+\.[a-z]{2,} | https?://\S* | [\w.-]+\.(pem|key|crt|txt|json|ya?ml|env|ini|cfg|conf|py|js|sh)
     )$"""
 )
+#: Words that a structured value holds if it is a placeholder that many copied.
+PLACEHOLDER_WORD = r"(?i)(?:place.?holder|example|sample|dummy|change.?me|replace.?me|default|insecure|your[-_.])"
 STOP = {"the", "a", "an", "is", "are", "must", "not", "be", "for", "of", "to", "your", "my", "and", "or", "in", "with", "no", "missing", "invalid", "required", "empty", "should", "has", "have", "please", "enter", "password", "token", "secret", "key", "wrong", "failed", "error", "expired", "by", "from", "this", "that", "it"}
 WORDS3 = re.compile(r"[^\W\d_]{2,}(?: [^\W\d_]{2,}){2,7}")
 
@@ -327,26 +330,36 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, owners, lines, values = [], [], [], []
-        for key, repo, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+        ids, owners, copies, lines, values = [], [], [], [], []
+        for key, repo, copy, text in zip(*(b.column(k).to_pylist() for k in range(4))):
             for a, _, v in candidates(text):
                 if v != "\0":
                     ids.append(key)
                     owners.append(repo)
+                    copies.append(copy)
                     lines.append(text.count("\n", 0, a) + 1)
                     values.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owners, pa.string()), pa.array(lines, pa.int64()), pa.array(values, pa.string())], names=["file_id", "owner", "line_no", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owners, pa.string()), pa.array(copies, pa.int64()), pa.array(lines, pa.int64()), pa.array(values, pa.string())], names=["file_id", "owner", "copy", "line_no", "value"])
 
 
 def index(df: DataFrame, key: str = "file_id", owner: str = "repo_name", content: str = "content") -> DataFrame:
-    """``file_id, owner, line_no, value`` of every candidate (value empty: a key block)."""
-    rows = df.select(F.col(key).cast("long").alias("file_id"), F.coalesce(F.col(owner).cast("string"), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("owner"), F.col(content).alias("content"))
-    return rows.mapInArrow(_index, "file_id long, owner string, line_no long, value string")
+    """``file_id, owner, copy, line_no, value`` of every candidate (value empty: a key block; copy: equal for equal contents)."""
+    rows = df.select(F.col(key).cast("long").alias("file_id"), F.coalesce(F.col(owner).cast("string"), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("owner"), F.xxhash64(F.col(content)).alias("copy"), F.col(content).alias("content"))
+    return rows.mapInArrow(_index, "file_id long, owner string, copy long, line_no long, value string")
 
 
 def shared_values(indexed: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """Values of more owners than a secret has."""
-    return indexed.where("value != ''").select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") > max_owners)
+    """Values that are placeholders, as more owners have them than have a secret.
+
+    Copies of one text count as one owner. A structured value needs a placeholder's word besides (then copies
+    count, too), and one of a provider's format is never taken for a placeholder.
+    """
+    value = F.col("value")
+    held = indexed.where((value != "") & ~value.rlike(f"^(?:{PROVIDER.pattern})$"))
+    texts = held.groupBy("value", "copy").agg(F.min("owner").alias("owner"))
+    by_count = texts.where(~value.rlike(f"^{STRUCTURED.pattern}$")).select("value", "owner")
+    by_word = held.where(value.rlike(f"^{STRUCTURED.pattern}$") & value.rlike(PLACEHOLDER_WORD)).select("value", "owner")
+    return by_count.unionByName(by_word).distinct().groupBy("value").agg(F.count("*").alias("owners")).where(F.col("owners") > max_owners)
 
 
 _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
@@ -468,7 +481,7 @@ def redact(df: DataFrame, key: str = "file_id", owner: str = "repo_name", conten
     Confirmed values are taken in slices of at most ``automaton_bytes``, one pass over the texts each.
     """
     sc = df.sparkSession.sparkContext
-    indexed = materialize(index(df, key, owner, content).select("value", "owner").where("value != ''").distinct())
+    indexed = materialize(index(df, key, owner, content).select("value", "owner", "copy").where("value != ''").distinct())
     shared = materialize(shared_values(indexed, max_owners).select("value"))
     placeholders = sc.broadcast([r["value"] for r in shared.collect()])
     confirmed = materialize(indexed.join(shared, "value", "left_anti").where(F.col("value").rlike(f"^{STRUCTURED.pattern}$")).select("value").distinct())

@@ -85,6 +85,17 @@ def test_find_rescans_and_suppresses(spark):
     assert c.redact(table(spark, rows), automaton_bytes=10).count() == len(rows)
 
 
+def test_copies_of_a_text_are_one_owner(spark):
+    forked = 'password = "tr33House9!"\nAPI_KEY = "q8ZrT1vX0pLm4nWc7YbK"\nu = "postgresql://app:Zelda2015!@db.host.example:5432/x"'
+    rows = [(k, f"r{k}", forked, 0, "") for k in range(20)]
+    # in distinct texts of many owners: a structured value and a provider's stay, another one is a placeholder
+    rows += [(100 + k, f"s{k}", f'n = {k}\npassword = "Summer2024!"\nsecret = "k3Jd92mQx7Lw0ZpR"\nx = "ghp_{"q8ZrT1vX0p" * 3}abcdef"', 0, "") for k in range(20)]
+    found = {tuple(r) for r in c.find(table(spark, rows)).collect()}
+    assert found == {(k, n) for k in range(20) for n in (1, 2, 3)} | {(100 + k, n) for k in range(20) for n in (3, 4)}
+    for r in c.redact(table(spark, rows)).collect():
+        assert not any(v in r["content"] for v in ("tr33House9!", "q8ZrT1vX0p", "Zelda2015!", "k3Jd92mQx7Lw0ZpR")) and ("Summer2024!" in r["content"]) == (r["file_id"] >= 100)
+
+
 def test_empty_table(spark):
     assert c.find(table(spark, [])).count() == 0
     assert c.redact(table(spark, [])).count() == 0
