@@ -11,9 +11,8 @@
 3. *Confirm.* Of the rest, values that are structured (a token of letters and digits, long enough
    not to occur by chance) are confirmed.
 4. *Re-scan.* A second pass looks through every file with an automaton of the confirmed values,
-   so that a secret is also found where nothing around it gives it away. While the confirmed values
-   take at most ``automaton_bytes`` they are broadcast as one automaton; beyond that, files are
-   cut into tokens and joined with the values by hash, which finds the same places.
+   so that a secret is also found where nothing around it gives it away. The automaton is broadcast;
+   values of more than ``automaton_bytes`` are taken in slices, with a pass over the files for each.
 
 Places are ``file_id, line_no`` of the value's first character (a key block: its BEGIN line).
 Redaction keeps quotes, separators, line ends and everything outside the values.
@@ -32,6 +31,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -410,34 +410,26 @@ def _rescan(shared):
     return go
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    token = re.compile(r"[A-Za-z0-9_+/=.~-]{14,}")
-    for b in batches:
-        ids, lines, values = [], [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for m in token.finditer(text or ""):
-                if STRUCTURED.fullmatch(m[0]):
-                    for v in {m[0], m[0].strip(".")}:
-                        ids.append(key)
-                        lines.append(text.count("\n", 0, m.start()) + 1)
-                        values.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(values, pa.string())], names=["file_id", "line_no", "value"])
+def slices_of(confirmed: DataFrame, automaton_bytes: int) -> Iterator[Broadcast]:
+    """The confirmed values in broadcast lists of about ``automaton_bytes``; one list at least."""
+    size = confirmed.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
+    slices = int(size // automaton_bytes) + 1
+    for k in range(slices):
+        part = confirmed.where(F.pmod(F.xxhash64("value"), F.lit(slices)) == k)
+        yield confirmed.sparkSession.sparkContext.broadcast([r["value"] for r in part.collect()])
 
 
 def find(df: DataFrame, key: str = "file_id", owner: str = "repo_name", content: str = "content", max_owners: int = MAX_OWNERS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """``file_id, line_no`` of every place, each once."""
+    """``file_id, line_no`` of every place, each once. Confirmed values are taken in slices as in ``redact``."""
     indexed = materialize(index(df, key, owner, content))
     shared = shared_values(indexed, max_owners)
     kept = materialize(indexed.join(shared, "value", "left_anti").select("file_id", "line_no", "value"))
     confirmed = kept.where(F.col("value").rlike(f"^{STRUCTURED.pattern}$")).select("value").distinct()
+    places = kept.select("file_id", "line_no")
     files = df.select(F.col(key).cast("long").alias("file_id"), F.col(content).alias("content"))
-    size = confirmed.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
-    if size <= automaton_bytes:
-        values = df.sparkSession.sparkContext.broadcast([r["value"] for r in confirmed.collect()])
-        again = files.mapInArrow(_rescan(values), "file_id long, line_no long")
-    else:
-        again = files.mapInArrow(_tokens, "file_id long, line_no long, value string").join(confirmed, "value", "left_semi").select("file_id", "line_no")
-    return kept.select("file_id", "line_no").unionByName(again).distinct()
+    for values in slices_of(confirmed, automaton_bytes):
+        places = places.unionByName(files.mapInArrow(_rescan(values), "file_id long, line_no long"))
+    return places.distinct()
 
 
 def redact_text(text: str | None, placeholders: frozenset[str] = frozenset(), a: ahocorasick.Automaton | None = None) -> str | None:
@@ -485,11 +477,7 @@ def redact(df: DataFrame, key: str = "file_id", owner: str = "repo_name", conten
     shared = materialize(shared_values(indexed, max_owners).select("value"))
     placeholders = sc.broadcast([r["value"] for r in shared.collect()])
     confirmed = materialize(indexed.join(shared, "value", "left_anti").where(F.col("value").rlike(f"^{STRUCTURED.pattern}$")).select("value").distinct())
-    size = confirmed.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
-    slices = int(size // automaton_bytes) + 1
     out = df.select(F.col(key).cast("long").alias("file_id"), F.col(content).alias("content"))
-    for k in range(slices):
-        part = confirmed.where(F.pmod(F.xxhash64("value"), F.lit(slices)) == k)
-        values = sc.broadcast([r["value"] for r in part.collect()])
+    for values in slices_of(confirmed, automaton_bytes):
         out = out.mapInArrow(_redact(values, placeholders), "file_id long, content string")
     return out

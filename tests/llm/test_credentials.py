@@ -96,6 +96,18 @@ def test_copies_of_a_text_are_one_owner(spark):
         assert not any(v in r["content"] for v in ("tr33House9!", "q8ZrT1vX0p", "Zelda2015!", "k3Jd92mQx7Lw0ZpR")) and ("Summer2024!" in r["content"]) == (r["file_id"] >= 100)
 
 
+@pytest.mark.parametrize("automaton_bytes", [c.AUTOMATON_BYTES, 10])
+def test_rescan_beside_dots_and_escapes(spark, automaton_bytes):
+    secrets = ["q8ZrT1vX0pLm4nWc7YbK", "k3Jd92mQx7Lw0ZpRt5"]
+    rows = [(k, "a", f'API_KEY = "{v}"', 0, "") for k, v in enumerate(secrets)]
+    beside = ["cfg.{}", "{}.suffix", 'x = f("\\n{}")', 'x = f("a\\t{}")', "a.{}.b", "({})", "x{}", "{}y"]
+    rows += [(10 * k + n, "b", "1\n" + b.format(v), 0, "") for n, v in enumerate(secrets) for k, b in enumerate(beside, 1)]
+    found = {tuple(r) for r in c.find(table(spark, rows), automaton_bytes=automaton_bytes).collect()}
+    assert found == {(0, 1), (1, 1)} | {(10 * k + n, 2) for n in range(2) for k in range(1, 7)}
+    masked = {r["file_id"] for r in c.redact(table(spark, rows), automaton_bytes=automaton_bytes).collect() if c.MASK in r["content"]}
+    assert masked == {i for i, _ in found}
+
+
 def test_empty_table(spark):
     assert c.find(table(spark, [])).count() == 0
     assert c.redact(table(spark, [])).count() == 0
