@@ -68,7 +68,7 @@ REFERENCE = re.compile(
     | (vault|env|ref|secret|secrets|ssm|arn|file|kms|op|sm|aws|gcp|azure|keyring|keychain|sops|data|config|consul|doppler)[:/].*
     | ~?/?(etc|run|var|home|opt|usr|secrets?|mnt|tmp|keys?|root|srv)/[\w./-]* | (?-i:\.{0,2}/[a-z0-9_.-]+(/[a-z0-9_.-]+)*) | [a-z]:\\.*
     | (process\.env|os\.environ|os\.getenv|system\.getenv|env|config|settings|secrets|vault|credentials|self|this|request|params|args|options|opts|ctx)[.\[(].*
-    | !\w+.* | enc\[.* | \S+@\S+\.[a-z]{2,} | https?://\S* | [\w.-]+\.(pem|key|crt|txt|json|ya?ml|env|ini|cfg|conf|py|js|sh)
+    | !\w+.* | enc\[.* | \S[^\s@]*@\S+\.[a-z]{2,} | https?://\S* | [\w.-]+\.(pem|key|crt|txt|json|ya?ml|env|ini|cfg|conf|py|js|sh)
     )$"""
 )
 #: Words that a structured value holds if it is a placeholder that many copied.
@@ -79,10 +79,11 @@ WORDS3 = re.compile(r"[^\W\d_]{2,}(?: [^\W\d_]{2,}){2,7}")
 NAME = re.compile(r"[A-Za-z_À-ÿ][\w$.À-ÿ-]{0,80}")
 QUOTED_VALUE = re.compile(r"""["'`]?\s*\]?\s*(?:\[\s*\d*\s*\])?\s*(?::\s*[A-Za-z<>\[\]]+\s*=|=>|:=|\?\?=|\|\|=|\+=|=|:|,|\|\||\?\?|(?<=\s)(?=["'`]))\s*(?:str|String|string|bytes|Some|new String|SecretStr|Buffer\.from)?\s*([(\[]?)\s*(?:[bBrRuUfFL]{1,2}|@)?("{3}|'{3}|["'`])""")
 DEFAULT_VALUE = re.compile(r"""["']?\s*\]?\s*\)?\s*(?:\|\||\?\?|:-|\bor\b)\s*(["'`])""")
-TAG_VALUE = re.compile(r"""["']?\s*>\s*([^<>\n]{4,400}?)\s*</([\w:.-]+)""")
+TAG_VALUE = re.compile(r"""["']?\s*>\s*+([^<>\n]{4,}+)\s*+</([\w:.-]+)""")
 ATTR_VALUE = re.compile(r"""["']?\s*[,;]?\s*(?:type\s*=\s*["']\w+["']\s*)?(?:value|content|default)\s*[=:]\s*(["']?)""")
 CALL_VALUE = re.compile(r"""\s*(?::=|=|:)\s*(?:await\s+|new\s+)?([\w.:>-]+)\(\s*((?:["'][^"'\n]*["']\s*,\s*)+)(["'])""")
 FLAG_VALUE = re.compile(r"""(?:\s+|=)(["']?)""")
+ATTR_RUN, FLAG_RUN = re.compile(r"[^\s,}>]*"), re.compile(r"\S*")
 BARE_VALUE = re.compile(r"""["']?\s*(?::|=)[ \t]*([^\s"'`#;|>&{\[(,][^\n]*)""")
 ENV_VALUE = re.compile(r"""[ \t]+([^\s"'`#;|>&{\[(,=][^\n]*)""")
 BLOCK_VALUE = re.compile(r"""["']?\s*:\s*[|>][+-]?[ \t]*\n[ \t]+([^\n]+)""")
@@ -91,15 +92,20 @@ NEXT_LITERAL = re.compile(r"""\s*(?:\+|\.|\\|,|&)?\s*\\?\s*(["'`])""")
 CODE = re.compile(r"(?m)^\s*(#include|#define|import\s+[\w{*.]|from\s+[\w.]+\s+import|package\s+\w|public\s+(final\s+)?class|def\s+\w+\(|class\s+\w+|const\s+\w+\s*=|let\s+\w+\s*=|var\s+\w+\s*=|function\s*\w*\(|static\s+\w|using\s+\w|<!doctype|<html|@\w+\()", re.I)
 
 URL = re.compile(r"""\b([A-Za-z][A-Za-z0-9+.-]{1,20})://([^\s/:@"'`<>]*):([^\s@"'`<>/]+|<[^>\s]*>)@(?=[\w.\[$<{-])""")
-CONNECTION = re.compile(r"""(?i)(?<!\w)(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;"'`<\n]{4,400})""")
+CONNECTION = re.compile(r"""(?i)(?<!\w)(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;"'`<\n]{4,})""")
 CONNECTED = re.compile(r"""(?i)\b(?:server|data source|host|user id|uid|user|username|database|endpoint|account\w*)\s*=[^;\n"'`<]*;""")
 HEADER = re.compile(r"""(?:(?<=["'`>=:,(\s])|^)(?:[Aa]uthorization["']?\s*[:=,]\s*["']?)?(Bearer|bearer|Basic|token|Token|ApiKey|Apikey|apikey|Digest)\s+([A-Za-z0-9+/][\w.~+/=:-]{13,}[\w~+/=-])(?![\w.~+/=-])""")
 PROVIDER = re.compile(
-    r"(?<![\w+/=-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_\w{40,}|glpat-[\w-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[\w-]{20,}|AIza[\w-]{30,40}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{20,})(?![\w+/=])"
+    r"(?<![\w+/=-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[\w-]{20,}|AIza[\w-]{30,40}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{20,})(?![\w+/=])"
 )
 KEY_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 KEY_END = re.compile(r"-----END ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
-QUERY = re.compile(r"""[?&]([A-Za-z_-]{2,40})=([^&\s"'`<>#{}$]{8,200})""")
+KEY_NEAR = 20_000
+KEY_BREAK = re.compile(r"\r?\n|\\+[nr]")
+KEY_RUN = re.compile(r"[A-Za-z0-9+/=]+")
+KEY_HEADER = re.compile(r"[\s\"'`+#*,;/]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): ?")
+KEY_AROUND = " \t\r\"'`+#*,;/\\>|().&-"
+QUERY = re.compile(r"""[?&]([A-Za-z_-]{2,40})=([^&\s"'`<>#{}$]{8,})""")
 CALL = re.compile(r"""\b\w*(?:login|log_in|logon|connect|authenticate|auth|signin|sign_in|set_?password)\(\s*(?:["'][^"'\n]*["']\s*,\s*){1,4}(["'])([^"'\n]+)\1\s*[,)]""", re.I)
 FALLBACK = re.compile(r"""\s*:-([^}\s"'`]+)\}""")
 SHELL_USER = re.compile(r"""(?:^|\s)(?:-u|--user)(?:\s+|=)(["']?)[\w.@-]+:([^\s"']+)\1""")
@@ -136,7 +142,7 @@ def secret_name(name: str) -> bool:
 def secret_value(v: str, phrase: bool = True, plain: bool = False) -> bool:
     """Whether a value could give access. ``phrase``: words may be a passphrase; ``plain``: lower-case letters may."""
     v = v.strip()
-    if len(v) < 6 or len(v) > 4000 or PLACEHOLDER.match(v) or REFERENCE.match(v) or v.startswith("-----BEGIN"):
+    if len(v) < 6 or PLACEHOLDER.match(v) or REFERENCE.match(v) or v.startswith("-----BEGIN"):
         return False
     if " " in v or "\t" in v:
         return phrase and bool(WORDS3.fullmatch(v)) and not STOP & set(v.lower().split()) and v == v.lower()
@@ -166,7 +172,7 @@ def _literal(text: str, at: int, quote: str) -> int:
 def _joined(text: str, start: int, end: int, quote: str, listed: bool) -> tuple[str, list[tuple[int, int]]]:
     """The literal with those concatenated to it."""
     spans, pos = [(start, end)], end + len(quote)
-    while len(spans) < 40:
+    while True:
         m = NEXT_LITERAL.match(text, pos)
         if not m or ("," in m[0] and not listed) or ("\n" in m[0] and not listed and not any(c in m[0] for c in "+.\\&") and not text[start - 2 : start - 1].isspace()):
             break
@@ -200,15 +206,16 @@ def _named(text: str, start: int, name: str, config: bool) -> tuple[str, list[tu
         return None
     m = ATTR_VALUE.match(text, at)
     if m:
-        end = _literal(text, m.end(), m[1]) if m[1] else m.end() + len(re.match(r"[^\s,}>]*", text[m.end() : m.end() + 400])[0])
+        end = _literal(text, m.end(), m[1]) if m[1] else ATTR_RUN.match(text, m.end()).end()
         return (text[m.end() : end], [(m.end(), end)]) if end > 0 and secret_value(_bare(text[m.end() : end])) else None
     m = TAG_VALUE.match(text, at)
     if m and (text[at] in "\"'" or m[2] == name):
-        return (m[1], [m.span(1)]) if secret_value(_bare(m[1])) else None
+        value = m[1].rstrip()
+        return (value, [(m.start(1), m.start(1) + len(value))]) if secret_value(_bare(value)) else None
     if text[max(0, start - 2) : start] == "--":
         m = FLAG_VALUE.match(text, at)
         if m:
-            end = _literal(text, m.end(), m[1]) if m[1] else m.end() + len(re.match(r"\S*", text[m.end() : m.end() + 400])[0])
+            end = _literal(text, m.end(), m[1]) if m[1] else FLAG_RUN.match(text, m.end()).end()
             return (text[m.end() : end], [(m.end(), end)]) if end > 0 and secret_value(text[m.end() : end]) else None
     m = FALLBACK.match(text, at)
     if m:
@@ -219,25 +226,79 @@ def _named(text: str, start: int, name: str, config: bool) -> tuple[str, list[tu
             m = ENV_VALUE.match(text, at)
         if m:
             value = re.sub(r"\s+[#;].*$", "", m[1]).rstrip().rstrip(",")
-            return (value, [(m.start(1), m.start(1) + len(value))]) if not value.endswith((";", "{", ")")) and secret_value(_bare(value)) else None
+            spans = [(m.start(1), m.start(1) + len(value))]
+            if m.re is BLOCK_VALUE:
+                spans += _block_rest(text, m)
+            return (value, spans) if not value.endswith((";", "{", ")")) and secret_value(_bare(value)) else None
     return None
 
 
+def _block_rest(text: str, m: re.Match) -> list[tuple[int, int]]:
+    """The further lines of a block scalar that are one token each."""
+    out, opening, pos = [], text[text.rfind("\n", 0, m.start(1)) : m.start(1)], m.end()
+    while text.startswith(opening, pos):
+        line = FLAG_RUN.match(text, pos + len(opening))
+        pos = text.find("\n", line.end())
+        pos = len(text) if pos < 0 else pos
+        if not line[0] or text[line.end() : pos].strip():
+            break
+        out.append(line.span())
+    return out
+
+
 def _bare(v: str) -> str:
     """Without the scheme of a header."""
     return re.sub(r"^(?:[Aa]uthorization:\s*)?(?:[Bb]earer|[Bb]asic|[Tt]oken|[Aa]pi[Kk]ey)\s+", "", v)
 
 
-def _key_body(text: str, m: re.Match) -> tuple[int, int] | None:
-    """The span between BEGIN and END of a key block, if key material stands there."""
-    end = KEY_END.search(text, m.end(), m.end() + 20_000)
-    stop = end.start() if end else min(len(text), m.end() + 400)
-    body = text[m.end() : stop]
-    clean = re.sub(r"\\[nr]|[\s\"'`+#*,;/\\]|//", "", body) if end else re.sub(r"\\[nr]|[\s\"'`+#*]", "", body)
-    material = re.search(r"[A-Za-z0-9+/=]{40,}", clean)
-    if not material or len(set(material[0])) < 12:
-        return None
-    return m.end(), stop
+def _key_pieces(text: str, at: int, stop: int) -> Iterator[tuple[int, int, list[tuple[int, int]], bool]]:
+    """The lines between two places, cut at escaped line ends, too: start, end, runs of key characters, whether nothing else stands there."""
+    while at < stop:
+        m = KEY_BREAK.search(text, at, stop)
+        end = m.start() if m else stop
+        runs = [k.span() for k in KEY_RUN.finditer(text, at, end) if k[0].strip("+/")]
+        yield at, end, runs, not (text[at : runs[0][0]] + text[runs[-1][1] : end] if len(runs) == 1 else text[at:end]).strip(KEY_AROUND)
+        at = m.end() if m else stop
+
+
+def _key_lines(text: str, at: int, stop: int) -> list[tuple[int, int]]:
+    """The key material on the lines from ``at`` on, up to the first line without."""
+    out: list[tuple[int, int]] = []
+    for a, b, runs, alone in _key_pieces(text, at, stop):
+        if not runs:
+            if text[a:b].strip(KEY_AROUND):
+                break
+            continue
+        if KEY_HEADER.match(text, a, b):
+            continue
+        words = [text[c:d] for c, d in runs]
+        mixed = [bool(re.search("[a-z]", w) and re.search("[A-Z]", w) and re.search("[0-9+/]", w)) for w in words]
+        if alone and len(words[0]) < 16:
+            # the last line of a block
+            return out + runs if out and re.search("[0-9=+]", words[0]) else out
+        if not any(x and (alone or len(w) >= 40) for x, w in zip(mixed, words)):
+            break
+        out += [k for k, x, w in zip(runs, mixed, words) if x and len(w) >= 16]
+    return out
+
+
+def _key_body(text: str, m: re.Match) -> list[tuple[int, int]] | None:
+    """Where key material stands after the BEGIN mark ``m``: up to its END, or else as far as lines of it follow."""
+    stop = text.find("-----BEGIN", m.end())
+    stop = len(text) if stop < 0 else stop
+    end = KEY_END.search(text, m.end(), stop)
+    if end:
+        body = text[m.end() : end.start()]
+        material = re.search(r"[A-Za-z0-9+/=]{40,}", re.sub(r"\\[nr]|[\s\"'`+#*,;/\\]|//", "", body))
+        # two marks far apart may be just that, unless most of what is between them is key material
+        near = len(body) <= KEY_NEAR or 2 * sum(len(k) for k in re.findall(r"[A-Za-z0-9+/=]{40,}", body)) >= len(body)
+        if near:
+            if not material or len(set(material[0])) < 12:
+                return None
+            return [k for _, _, runs, alone in _key_pieces(text, m.end(), end.start()) for k in runs if alone or k[1] - k[0] >= 16]
+    spans = _key_lines(text, m.end(), stop)
+    held = "".join(text[a:b] for a, b in spans)
+    return spans if len(held) >= 40 and len(set(held)) >= 12 else None
 
 
 def candidates(text: str | None) -> list[tuple[int, int, str]]:
@@ -441,9 +502,7 @@ def redact_text(text: str | None, placeholders: frozenset[str] = frozenset(), a:
         if v in placeholders:
             continue
         if v == "" and text.startswith("-----BEGIN", begin):
-            body = _key_body(text, KEY_BLOCK.match(text, begin))
-            lines = re.finditer(r"[A-Za-z0-9+/=]{16,}", text[body[0] : body[1]])
-            spans += [(body[0] + m.start(), body[0] + m.end()) for m in lines]
+            spans += _key_body(text, KEY_BLOCK.match(text, begin))
         else:
             spans.append((begin, end))
     if a is not None:

@@ -1,3 +1,6 @@
+import base64
+import hashlib
+
 import pytest
 
 from lexloom.llm import credentials as c
@@ -108,6 +111,49 @@ def test_rescan_beside_dots_and_escapes(spark, automaton_bytes):
     assert masked == {i for i, _ in found}
 
 
+def noise(n):
+    return "".join(hashlib.sha256(b"%d" % k).hexdigest()[:31] + "Xq" for k in range(n // 33 + 1))[:n]
+
+
+def key_lines(n):
+    return [base64.b64encode(hashlib.sha384(b"%d" % k).digest()).decode() for k in range(n)]
+
+
+@pytest.mark.parametrize(
+    "before, value, after",
+    [
+        ("u = 'https://h.example/?token=", noise(300), "&x=1'"),
+        ("<add name='DB_PASSWORD' value=", noise(900), " />"),
+        ("login-tool --secret ", noise(900), " run"),
+        ("<password>", noise(900), "</password>"),
+        ("Server=db.example;Password=", noise(900), ";x"),
+        ("x = 'ghp_", noise(300), "'"),
+        ('SERVICE_ACCOUNT_TOKEN = "', noise(9000), '"'),
+        ("kubeconfig_secret: |\n  ", noise(60) + "\n  " + noise(61), "\nnext: 1"),
+    ],
+)
+def test_values_are_masked_to_their_end(before, value, after):
+    assert c.redact_text(before + value + after).replace("\n  " + c.MASK, "") in (before + c.MASK + after, before.rstrip() + after, "x = '" + c.MASK + "'")
+
+
+def test_literals_of_many_parts_are_masked():
+    parts = [noise(4000)[20 * k : 20 * k + 20] for k in range(100)]
+    out = c.redact_text("TOKEN = (\n" + "\n".join(f'    "{p}"' for p in parts) + "\n)\n")
+    assert not any(p in out for p in parts) and out.count(c.MASK) == 100
+
+
+@pytest.mark.parametrize("lead, sep", [("", "\n"), ("# ", "\n# "), ("", "\\n"), ("", '" +\n  "')])
+@pytest.mark.parametrize("n, end", [(60, ""), (1000, "-----END PRIVATE KEY-----"), (1000, ""), (4, "-----END PRIVATE KEY-----")])
+def test_key_blocks_are_masked_whole(lead, sep, n, end):
+    lines_ = [*key_lines(n), "Qx7+aQ=="]
+    out = c.redact_text(lead + "-----BEGIN PRIVATE KEY-----" + sep + sep.join(lines_) + (sep + end if end else '"') + "\nresult = computeSomethingElse(42)\n")
+    assert not any(k in out for k in lines_) and out.endswith("\nresult = computeSomethingElse(42)\n") and out.count(c.MASK) == n + 1
+
+
+def test_marks_far_apart_are_no_key():
+    assert c.candidates('B = "-----BEGIN PRIVATE KEY-----"\n' + "import os\nfrom package import something_long\n" * 1000 + 'E = "-----END PRIVATE KEY-----"\n') == []
+
+
 def test_empty_table(spark):
     assert c.find(table(spark, [])).count() == 0
     assert c.redact(table(spark, [])).count() == 0
