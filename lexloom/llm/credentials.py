@@ -9,7 +9,7 @@
    structured one only if it also holds a word of placeholders, a provider's format never. Known placeholder wordings, references to variables or secret stores, bare markers and names
    never become candidates.
 3. *Confirm.* Of the rest, values that are structured (a token of letters and digits, long enough
-   not to occur by chance) are confirmed.
+   not to occur by chance) or mixed (letters, digits and punctuation) are confirmed.
 4. *Re-scan.* A second pass looks through every file with an automaton of the confirmed values,
    so that a secret is also found where nothing around it gives it away. The automaton is broadcast;
    values of more than ``automaton_bytes`` are taken in slices, with a pass over the files for each.
@@ -117,6 +117,9 @@ SAID = (
 )
 COMMENT = re.compile(r"^\s*(//|#|/\*|\*|--|<!--|;|%|rem\b)", re.I)
 STRUCTURED = re.compile(r"(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9_+/=.~-]{14,}")
+#: Generated passwords: punctuation among letters and digits, of both cases or long.
+MIXED = re.compile(r"(?=.*\d)(?=.*[!@#$%^&*?:;,|])(?:(?=.*[a-z])(?=.*[A-Z])|(?=.*[A-Za-z])(?=.{14}))[A-Za-z0-9_+/=.~!@#$%^&*?:;,|-]{10,}")
+CONFIRMED = f"^(?:{STRUCTURED.pattern}|{MIXED.pattern})$"
 TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=~-")
 
 
@@ -445,12 +448,27 @@ def value_automaton(shared) -> ahocorasick.Automaton | None:
     return _AUTOMATA[at]
 
 
+def _ends(text: str, begin: int, end: int) -> bool:
+    """Whether a value's token ends at ``end``; ``=`` goes on with it where it may be its padding."""
+    if end == len(text) or text[end] not in TOKEN_CHARS:
+        return True
+    if text[end] != "=":
+        return False
+    stop = end
+    while stop < len(text) and text[stop] == "=":
+        stop += 1
+    value = text[begin:end]
+    body = len(value.rstrip("="))
+    missing = -body % 4 - (len(value) - body) if body % 4 > 1 else 0
+    return stop - end > missing or (stop < len(text) and text[stop] in TOKEN_CHARS)
+
+
 def occurrences(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int]]:
-    """Places where a confirmed value stands as a whole token."""
-    out, n = [], len(text)
+    """Places where a confirmed value stands as a whole token; ``=`` and ``/`` before it are no part of one."""
+    out = []
     for end, size in a.iter(text):
         begin = end - size + 1
-        if (begin == 0 or text[begin - 1] not in TOKEN_CHARS or text[begin - 2 : begin] in ("\\n", "\\t", "\\r")) and (end + 1 == n or text[end + 1] not in TOKEN_CHARS):
+        if (begin == 0 or text[begin - 1] not in TOKEN_CHARS or text[begin - 1] in "=/" or text[max(0, begin - 2) : begin] in ("\\n", "\\t", "\\r")) and _ends(text, begin, end + 1):
             out.append((begin, end + 1))
     return out
 
@@ -485,7 +503,7 @@ def find(df: DataFrame, key: str = "file_id", owner: str = "repo_name", content:
     indexed = materialize(index(df, key, owner, content))
     shared = shared_values(indexed, max_owners)
     kept = materialize(indexed.join(shared, "value", "left_anti").select("file_id", "line_no", "value"))
-    confirmed = kept.where(F.col("value").rlike(f"^{STRUCTURED.pattern}$")).select("value").distinct()
+    confirmed = kept.where(F.col("value").rlike(CONFIRMED)).select("value").distinct()
     places = kept.select("file_id", "line_no")
     files = df.select(F.col(key).cast("long").alias("file_id"), F.col(content).alias("content"))
     for values in slices_of(confirmed, automaton_bytes):
@@ -493,10 +511,8 @@ def find(df: DataFrame, key: str = "file_id", owner: str = "repo_name", content:
     return places.distinct()
 
 
-def redact_text(text: str | None, placeholders: frozenset[str] = frozenset(), a: ahocorasick.Automaton | None = None) -> str | None:
-    """The text with each secret replaced by a mask; key blocks keep their marks and line structure."""
-    if not text:
-        return text
+def secret_spans(text: str, placeholders: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """What is to be masked of the literal secrets of a text."""
     spans = []
     for begin, end, v in candidates(text):
         if v in placeholders:
@@ -505,23 +521,42 @@ def redact_text(text: str | None, placeholders: frozenset[str] = frozenset(), a:
             spans += _key_body(text, KEY_BLOCK.match(text, begin))
         else:
             spans.append((begin, end))
-    if a is not None:
-        spans += occurrences(text, a)
+    return spans
+
+
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with each span replaced by a mask, overlapping ones by one."""
     out, pos = [], 0
     for begin, end in sorted(set(spans)):
-        if begin < pos:
-            continue
-        out += [text[pos:begin], MASK]
-        pos = end
+        if begin >= pos:
+            out += [text[pos:begin], MASK]
+        pos = max(pos, end)
     return "".join(out) + text[pos:]
 
 
-def _redact(values, placeholders):
+def redact_text(text: str | None, placeholders: frozenset[str] = frozenset(), a: ahocorasick.Automaton | None = None) -> str | None:
+    """The text with each secret replaced by a mask; key blocks keep their marks and line structure."""
+    if not text:
+        return text
+    return masked(text, secret_spans(text, placeholders) + (occurrences(text, a) if a is not None else []))
+
+
+def _redact(values, placeholders, first: bool, last: bool):
+    """One pass with a slice of the values. Only the last one masks; those before it hand on their spans."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, known = value_automaton(values), frozenset(placeholders.value)
         for b in batches:
-            texts = [redact_text(t, known, a) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["file_id", "content"])
+            texts, spans = b.column(1).to_pylist(), []
+            for k, text in enumerate(texts):
+                own = [] if not text else secret_spans(text, known) if first else [(x["a"], x["b"]) for x in b.column(2)[k].as_py()]
+                spans.append(own + (occurrences(text, a) if text and a is not None else []))
+            if last:
+                texts = [masked(t, x) if t else t for t, x in zip(texts, spans)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["file_id", "content"])
+            else:
+                pairs = pa.array([[{"a": x, "b": y} for x, y in z] for z in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pairs], names=["file_id", "content", "spans"])
 
     return go
 
@@ -535,8 +570,10 @@ def redact(df: DataFrame, key: str = "file_id", owner: str = "repo_name", conten
     indexed = materialize(index(df, key, owner, content).select("value", "owner", "copy").where("value != ''").distinct())
     shared = materialize(shared_values(indexed, max_owners).select("value"))
     placeholders = sc.broadcast([r["value"] for r in shared.collect()])
-    confirmed = materialize(indexed.join(shared, "value", "left_anti").where(F.col("value").rlike(f"^{STRUCTURED.pattern}$")).select("value").distinct())
+    confirmed = materialize(indexed.join(shared, "value", "left_anti").where(F.col("value").rlike(CONFIRMED)).select("value").distinct())
     out = df.select(F.col(key).cast("long").alias("file_id"), F.col(content).alias("content"))
-    for values in slices_of(confirmed, automaton_bytes):
-        out = out.mapInArrow(_redact(values, placeholders), "file_id long, content string")
+    slices = list(slices_of(confirmed, automaton_bytes))
+    for k, values in enumerate(slices, 1):
+        last = k == len(slices)
+        out = out.mapInArrow(_redact(values, placeholders, k == 1, last), "file_id long, content string" + ("" if last else ", spans array<struct<a: long, b: long>>"))
     return out
