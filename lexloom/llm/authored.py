@@ -19,14 +19,15 @@ file without path is judged by its text.
 
 Defined results: null, empty and blank contents are hand-written (no kind); null path or lang
 count as unknown; a byte order mark and CRLF don't matter; a file_id delivered several times yields
-one row (cases win); texts are judged whole at any length.
+one row (cases win); shapes are judged over the whole text. The head is the comments before the first
+line of code, or else 20 lines; the tail the comments after the last one, or else 6 lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -75,6 +76,9 @@ LIBRARY = re.compile(r"(?i)^\W*[\w.@/-]{2,40}( (javascript|js|css|library|lib|ru
 DATA_ATOM = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[+-]?(?:0x[0-9a-f]+|\d+(?:\.\d+)?(?:e[+-]?\d+)?)[a-z%]*|[^\W\d_]+(?:[ '-][^\W\d_]+)*", re.I)
 LONG_LITERAL = re.compile(r"[A-Za-z0-9+/=_-]{400,}|[0-9a-fA-F\s]{800,}|(?:\\x[0-9a-fA-F]{2}){100,}")
 HEAD_LINES, TAIL_LINES = 20, 6
+PREAMBLE = re.compile(r"^\s*(<\?(php|xml)\b[^<]*|<!doctype\b[^<]*|[\"']use strict[\"'];?)\s*$", re.I)
+BLOCKS = {"*/": "/*", "-->": "<!--"}
+DIRECTIVE = re.compile(r"^\s*#(include|define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|line|import)\b")
 
 
 @lru_cache(maxsize=1)
@@ -96,11 +100,10 @@ def machine_automaton() -> ahocorasick.Automaton:
     return a
 
 
-def _comments(lines: list[str]) -> Iterator[str]:
-    """What the comments of the head and the tail say, line by line, without their marks and quotes."""
-    picked = lines if len(lines) <= HEAD_LINES + TAIL_LINES else lines[:HEAD_LINES] + lines[-TAIL_LINES:]
+def _said(lines: Iterable[str]) -> Iterator[str | None]:
+    """What the comment in each line says, without marks; None for other lines."""
     block = ""
-    for line in picked:
+    for line in lines:
         m = COMMENT.match(line)
         if m:
             yield m[2]
@@ -116,6 +119,43 @@ def _comments(lines: list[str]) -> Iterator[str]:
                 block = ""
             else:
                 yield line.strip()
+        else:
+            yield None
+
+
+def _head(lines: list[str]) -> int:
+    """How many lines stand before the first line of code."""
+    for n, (line, said) in enumerate(zip(lines, _said(lines))):
+        if said is None and not PREAMBLE.match(line) or DIRECTIVE.match(line):
+            return n
+    return len(lines)
+
+
+def _tail(lines: list[str]) -> int:
+    """How many lines stand after the last line of code."""
+    n = len(lines)
+    while n:
+        line = lines[n - 1]
+        end = next((e for e in BLOCKS if line.rstrip().endswith(e)), None)
+        if end and BLOCKS[end] not in line.rstrip()[: -len(end)]:
+            opened = next((k for k in range(n - 2, -1, -1) if BLOCKS[end] in lines[k]), None)
+            if opened is None or not COMMENT.match(lines[opened]):
+                break
+            n = opened
+        elif COMMENT.match(line) and not DIRECTIVE.match(line):
+            n -= 1
+        else:
+            break
+    return len(lines) - n
+
+
+def _comments(lines: list[str]) -> Iterator[str]:
+    """What the comments of the head and the tail say, line by line, without their marks and quotes."""
+    if len(lines) > HEAD_LINES + TAIL_LINES:
+        head, tail = max(HEAD_LINES, _head(lines)), max(TAIL_LINES, _tail(lines))
+        if head + tail < len(lines):
+            lines = lines[:head] + lines[-tail:]
+    return (x for x in _said(lines) if x is not None)
 
 
 def notice_kind(lines: list[str]) -> str | None:

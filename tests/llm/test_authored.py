@@ -61,6 +61,20 @@ def test_release_notices(notice):
     assert a.file_kind("a.js", notice + "\n" + HAND) == "vendored"
 
 
+LICENCE = [f"Line {k} of the terms, with all rights and duties." for k in range(40)]
+CODE = "".join(f"area_{k} = width * height\n" for k in range(40))
+
+
+@pytest.mark.parametrize("lead", ["", "<?php\n", "#!/bin/sh\n"])
+@pytest.mark.parametrize(("first", "each", "last"), [("", "# ", ""), ("/*\n", " * ", " */\n"), ("/*\n", "", "*/\n"), ("<!--\n", "", "-->\n")])
+@pytest.mark.parametrize(("notice", "kind"), [("Code generated by toolx v1.2. DO NOT EDIT.", "generated"), ("Imported from the x source tree (tag v3.0.1)", "vendored"), ("ids are generated by the server", None)])
+def test_notices_in_long_comments(lead, first, each, last, notice, kind):
+    said = lambda ls: first + "".join(each + x + "\n" for x in ls) + last
+    assert a.file_kind("a.x", lead + said([*LICENCE, notice]) + CODE) == kind
+    assert a.file_kind("a.x", lead + CODE + said([notice, *LICENCE])) == kind
+    assert a.file_kind("a.x", lead + CODE + said([notice]) + CODE) is None
+
+
 def test_mark_and_line_ends_do_not_matter():
     text = "# @generated by x\n" + HAND
     assert a.file_kind("a.py", "﻿" + text.replace("\n", "\r\n")) == "generated"
