@@ -6,14 +6,16 @@ mix of ``total_bytes``. Temperature mixing starts from the exponentiated shares
 ``max_repeats_j * available_bytes_j``. When a total is given, a job whose wish exceeds that gives its
 whole capacity and the rest is spread over the others in proportion to their weights (water
 filling), so the mix keeps its size while any capacity is left; with ``within_caps`` the exponent is
-first bisected until no wish exceeds its cap, if some exponent does that. When no total is given, the size is
+first lowered until no wish exceeds its cap, if some exponent does that. The total may be given as a
+multiple of the bytes that all jobs have (``total_share``). When no total is given, the size is
 the largest one at which no job with records breaks its cap. ``min_entropy`` (nats) or ``max_epochs`` bisect the
 exponent: lowering ``a`` from 1 to 0 evens the weights out until their entropy reaches the target,
 or until the most-repeated job needs no more than ``max_epochs`` passes.
 
 Realisation. A job that needs ``q`` whole passes and a rest uses each record ``q`` times and fills
 the rest with records in a keyed pseudo-random order up to the budget: a *budgeted block
-permutation*. Every pass has its own permutation. The running byte sum of a pass is computed in two
+permutation*. Each job has one permutation: only the rest depends on it, and the uses of a record
+share its key and its slot. The running byte sum of a pass is computed in two
 levels (bytes per hash block, then inside the block), so the largest job is never one task:
 records spread over ``blocks`` hash blocks, only block totals are ordered globally.
 
@@ -94,6 +96,20 @@ def bisect_exponent(shares: list[float], fits, steps: int = 60) -> float:
     return low
 
 
+def largest_exponent(shares: list[float], fits, top: float = 1.0, steps: int = 1000) -> float | None:
+    """The largest exponent in [0, top] at which ``fits(weights)`` holds, or None; what fits needn't be an interval from 0."""
+    if fits(weights(shares, top)):
+        return top
+    for k in range(steps - 1, -1, -1):
+        low, high = top * k / steps, top * (k + 1) / steps
+        if fits(weights(shares, low)):
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if fits(weights(shares, mid)) else (low, mid)
+            return low
+    return None
+
+
 def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None, within_caps: bool = False) -> list[dict]:
     """Budgets from one dict per job (job, source, target_bytes, max_repeats, available_bytes, records)."""
     jobs = [j for j in jobs if (j["target_bytes"] or 0) > 0]
@@ -109,7 +125,8 @@ def plan_mix(jobs: list[dict], total_bytes: int | None = None, min_entropy: floa
         ok = lambda ws: all(w * size <= max_epochs * (j["available_bytes"] or 0) or not j["available_bytes"] for w, j in zip(ws, jobs))
         exponent = min(exponent, bisect_exponent(shares, ok))
     if within_caps and total_bytes:
-        exponent = min(exponent, bisect_exponent(shares, lambda ws: all(w * total_bytes <= c or not c for w, c in zip(ws, caps))))
+        fitting = largest_exponent(shares, lambda ws: all(w * total_bytes <= c or not c for w, c in zip(ws, caps)), exponent)
+        exponent = exponent if fitting is None else fitting
     ws = weights(shares, exponent)
     if total_bytes is None:
         # jobs without records keep the others' proportions as they are
@@ -180,13 +197,15 @@ def realise(records: DataFrame, plan: list[dict], seed: int = 7, blocks: int = 2
     return used.where("uses > 0").select("job", "tbl", "record_id", "n_bytes", "uses", F.xxhash64(F.lit(seed + 1), "tbl", "record_id", "job").alias("slot"))
 
 
-def mix(jobs: DataFrame, tables: dict[str, tuple[DataFrame, str, str]], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None, within_caps: bool = False, seed: int = 7, block_records: int = 1_000_000):
+def mix(jobs: DataFrame, tables: dict[str, tuple[DataFrame, str, str]], total_bytes: int | None = None, min_entropy: float | None = None, max_epochs: float | None = None, within_caps: bool = False, seed: int = 7, block_records: int = 1_000_000, total_share: float | None = None):
     """(plan as list of dicts, used records as DataFrame). The job table is small by nature and is collected."""
     listed = [r.asDict() for r in current_jobs(jobs).select("job", "target_bytes", "source", "seed_filter", "max_repeats").orderBy("job").collect()]
     records = materialize(job_records(tables, listed)) if any(j["source"] for j in listed) else None
     have = {r["job"]: r for r in records.groupBy("job").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).collect()} if records is not None else {}
     for j in listed:
         j["available_bytes"], j["records"] = (have[j["job"]]["b"], have[j["job"]]["n"]) if j["job"] in have else (0, 0)
+    if total_share is not None:
+        total_bytes = int(total_share * sum(j["available_bytes"] for j in listed if (j["target_bytes"] or 0) > 0))
     plan = plan_mix(listed, total_bytes, min_entropy, max_epochs, within_caps)
     if records is None or not plan:
         records = jobs.sparkSession.createDataFrame([], "job string, tbl string, record_id long, n_bytes long")

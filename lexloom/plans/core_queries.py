@@ -20,7 +20,7 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-MIX_BYTES, MIX_ENTROPY = 1_000_000, 2.2  # p5_tempered: the size asked for, and the least entropy of the weights in nats
+MIX_SHARE, MIX_ENTROPY = 1.25, 2.2  # p5_tempered: the size asked for as a multiple of all bytes that the jobs have, and the least entropy of the weights in nats
 
 
 def _mix(spark: SparkSession, sf_dir: str, **how):
@@ -37,8 +37,8 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of a mix of a given size whose exponent is bisected to the entropy and within the repeat caps."""
-    report = mixing.share_report(*_mix(spark, sf_dir, total_bytes=MIX_BYTES, min_entropy=MIX_ENTROPY, within_caps=True))
+    """Shares of a mix of a size in proportion to the tables whose exponent is bisected to the entropy and within the repeat caps."""
+    report = mixing.share_report(*_mix(spark, sf_dir, total_share=MIX_SHARE, min_entropy=MIX_ENTROPY, within_caps=True))
     return report.select("job", F.round("exponent", 6).alias("exponent"), F.round("weight", 6).alias("weight"), "budget_bytes", "mixed_bytes", "most_uses", F.round("reached_share", 6).alias("reached_share"))
 
 

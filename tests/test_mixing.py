@@ -36,6 +36,22 @@ def test_exponent_within_caps():
     assert plan[0]["exponent"] < 1 and [p["budget_bytes"] for p in plan] == [600, 400]
 
 
+def test_exponent_between_two_caps():
+    # a breaks its cap near 1, c near 0: only exponents between them fit
+    jobs = [job("a", 90, 800), job("b", 8, 500), job("c", 2, 100)]
+    plan = m.plan_mix(jobs, total_bytes=1000, within_caps=True)
+    assert 0 < plan[0]["exponent"] < 1 and all(p["budget_bytes"] <= p["available_bytes"] for p in plan) and plan[0]["budget_bytes"] == 800
+    # none fits: the exponent stays
+    assert m.plan_mix([job("a", 90, 500), job("b", 10, 100)], total_bytes=1000, within_caps=True)[0]["exponent"] == 1
+
+
+def test_total_in_proportion(spark):
+    rows = [("a", 60, "code/a", None, 1, None), ("b", 60, "web/b", "= auto", 3, None)]
+    plan, used = m.mix(jobs(spark, rows), tables(spark), total_share=1.25)
+    have, caps = sum(p["available_bytes"] for p in plan), {p["job"]: p["available_bytes"] * p["max_repeats"] for p in plan}
+    assert abs(sum(p["budget_bytes"] for p in plan) - int(1.25 * have)) <= 1 and plan[1]["budget_bytes"] == caps["b"]
+
+
 def test_no_jobs():
     assert m.plan_mix([]) == []
 
