@@ -76,7 +76,9 @@ PLACEHOLDER_WORD = r"(?i)(?:place.?holder|example|sample|dummy|change.?me|replac
 STOP = {"the", "a", "an", "is", "are", "must", "not", "be", "for", "of", "to", "your", "my", "and", "or", "in", "with", "no", "missing", "invalid", "required", "empty", "should", "has", "have", "please", "enter", "password", "token", "secret", "key", "wrong", "failed", "error", "expired", "by", "from", "this", "that", "it"}
 WORDS3 = re.compile(r"[^\W\d_]{2,}(?: [^\W\d_]{2,}){2,7}")
 
-NAME = re.compile(r"[A-Za-z_À-ÿ][\w$.À-ÿ-]{0,80}")
+NAME = re.compile(r"[A-Za-z_À-ÿ][\w$.À-ÿ-]*+")
+#: What stands for a value that was taken out.
+MASKED = re.compile(r"(?i)^[\[(<{*#_\s-]*(?:redacted|masked|hidden|removed|censored|filtered|secret|scrubbed|sanitized|omitted|suppressed|private|protected|confidential|withheld|elided|snip|truncated|x{3,}|\*{3,})(?:[ _-](?:for|by|value|secret|password|token|key|security|privacy|reasons|ed)\w*)*[\])>}*#_\s.!-]*$")
 QUOTED_VALUE = re.compile(r"""["'`]?\s*\]?\s*(?:\[\s*\d*\s*\])?\s*(?::\s*[A-Za-z<>\[\]]+\s*=|=>|:=|\?\?=|\|\|=|\+=|=|:|,|\|\||\?\?|(?<=\s)(?=["'`]))\s*(?:str|String|string|bytes|Some|new String|SecretStr|Buffer\.from)?\s*([(\[]?)\s*(?:[bBrRuUfFL]{1,2}|@)?("{3}|'{3}|["'`])""")
 DEFAULT_VALUE = re.compile(r"""["']?\s*\]?\s*\)?\s*(?:\|\||\?\?|:-|\bor\b)\s*(["'`])""")
 TAG_VALUE = re.compile(r"""["']?\s*>\s*+([^<>\n]{4,}+)\s*+</([\w:.-]+)""")
@@ -91,7 +93,7 @@ LINE_START = re.compile(r"""[ \t﻿]*(?:(?://+|\#+|/?\*+|--|;+|<!--)\s*)?(?:(?:e
 NEXT_LITERAL = re.compile(r"""\s*(?:\+|\.|\\|,|&)?\s*\\?\s*(["'`])""")
 CODE = re.compile(r"(?m)^\s*(#include|#define|import\s+[\w{*.]|from\s+[\w.]+\s+import|package\s+\w|public\s+(final\s+)?class|def\s+\w+\(|class\s+\w+|const\s+\w+\s*=|let\s+\w+\s*=|var\s+\w+\s*=|function\s*\w*\(|static\s+\w|using\s+\w|<!doctype|<html|@\w+\()", re.I)
 
-URL = re.compile(r"""\b([A-Za-z][A-Za-z0-9+.-]{1,20})://([^\s/:@"'`<>]*):([^\s@"'`<>/]+|<[^>\s]*>)@(?=[\w.\[$<{-])""")
+URL = re.compile(r"""(?<=[A-Za-z0-9])://([^\s/:@"'`<>]*):([^\s@"'`<>/]+|<[^>\s]*>)@(?=[\w.\[$<{-])""")
 CONNECTION = re.compile(r"""(?i)(?<!\w)(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;"'`<\n]{4,})""")
 CONNECTED = re.compile(r"""(?i)\b(?:server|data source|host|user id|uid|user|username|database|endpoint|account\w*)\s*=[^;\n"'`<]*;""")
 HEADER = re.compile(r"""(?:(?<=["'`>=:,(\s])|^)(?:[Aa]uthorization["']?\s*[:=,]\s*["']?)?(Bearer|bearer|Basic|token|Token|ApiKey|Apikey|apikey|Digest)\s+([A-Za-z0-9+/][\w.~+/=:-]{13,}[\w~+/=-])(?![\w.~+/=-])""")
@@ -105,8 +107,8 @@ KEY_BREAK = re.compile(r"\r?\n|\\+[nr]")
 KEY_RUN = re.compile(r"[A-Za-z0-9+/=]+")
 KEY_HEADER = re.compile(r"[\s\"'`+#*,;/]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): ?")
 KEY_AROUND = " \t\r\"'`+#*,;/\\>|().&-"
-QUERY = re.compile(r"""[?&]([A-Za-z_-]{2,40})=([^&\s"'`<>#{}$]{8,})""")
-CALL = re.compile(r"""\b\w*(?:login|log_in|logon|connect|authenticate|auth|signin|sign_in|set_?password)\(\s*(?:["'][^"'\n]*["']\s*,\s*){1,4}(["'])([^"'\n]+)\1\s*[,)]""", re.I)
+QUERY = re.compile(r"""[?&]([A-Za-z_-]{2,}+)=([^&\s"'`<>#{}$]{8,})""")
+CALL = re.compile(r"""\b\w*(?:login|log_in|logon|connect|authenticate|auth|signin|sign_in|set_?password)\(\s*(?:["'][^"'\n]*["']\s*,\s*)+(["'])([^"'\n]+)\1\s*[,)]""", re.I)
 FALLBACK = re.compile(r"""\s*:-([^}\s"'`]+)\}""")
 SHELL_USER = re.compile(r"""(?:^|\s)(?:-u|--user)(?:\s+|=)(["']?)[\w.@-]+:([^\s"']+)\1""")
 SHELL_PASS = re.compile(r"""(?:^|\s)(?:-u|--user)(?:\s+|=)?["']?[\w.@-]+["']?\s+(?:\S+\s+){0,3}?-p\s?(?:(["'])([^"'\n]+)\1|([^\s"'-][^\s"']*))""")
@@ -134,7 +136,7 @@ def anchors() -> ahocorasick.Automaton:
 
 @lru_cache(maxsize=100_000)
 def secret_name(name: str) -> bool:
-    """Whether a variable, key or flag of this name holds a secret."""
+    """Whether a variable, key or flag of this name holds a secret; only its last words tell."""
     letters = re.sub(r"[^a-zà-ÿ]", "", name.lower())
     if letters.endswith(SECRET_ENDINGS):
         return not letters.endswith(("nexttoken", "pagetoken", "continuationtoken", "synctoken", "csrftoken"))
@@ -145,7 +147,7 @@ def secret_name(name: str) -> bool:
 def secret_value(v: str, phrase: bool = True, plain: bool = False) -> bool:
     """Whether a value could give access. ``phrase``: words may be a passphrase; ``plain``: lower-case letters may."""
     v = v.strip()
-    if len(v) < 6 or PLACEHOLDER.match(v) or REFERENCE.match(v) or v.startswith("-----BEGIN"):
+    if len(v) < 6 or PLACEHOLDER.match(v) or REFERENCE.match(v) or MASKED.match(v) or MASK in v or v.startswith("-----BEGIN"):
         return False
     if " " in v or "\t" in v:
         return phrase and bool(WORDS3.fullmatch(v)) and not STOP & set(v.lower().split()) and v == v.lower()
@@ -338,10 +340,11 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
             if _key_body(text, whole):
                 put(begin + m.start(), begin + m.end(), "")
         for m in URL.finditer(line):
-            if secret_value(m[3], plain=True):
-                put(begin + m.start(3), begin + m.end(3), m[3])
+            if secret_value(m[2], plain=True):
+                put(begin + m.start(2), begin + m.end(2), m[2])
+        connected = CONNECTED.search(line)
         for m in CONNECTION.finditer(line):
-            if CONNECTED.search(line, max(0, m.start() - 400), m.start()) and secret_value(m[1], plain=True):
+            if connected and connected.end() <= m.start() and secret_value(m[1], plain=True):
                 put(begin + m.start(1), begin + m.end(1), m[1])
         for m in HEADER.finditer(line):
             if any(map(str.isdigit, m[2])) and secret_value(m[2]):
@@ -377,7 +380,7 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
             if tail in ("key", "secret") and "." in name:  # api.key and the like
                 tail = ".".join(name.rsplit(".", 2)[-2:])
                 start = begin + m.end() - len(tail)
-            if not secret_name(tail):
+            if not secret_name(tail[-200:]):
                 continue
             got = _named(text, start, tail, config or said)
             if got:
@@ -463,12 +466,22 @@ def _ends(text: str, begin: int, end: int) -> bool:
     return stop - end > missing or (stop < len(text) and text[stop] in TOKEN_CHARS)
 
 
+def _begins(text: str, begin: int) -> bool:
+    """Whether a value's token begins at ``begin``: ``=`` and ``/`` before it are no part of it, nor are hyphens with nothing before them."""
+    if begin == 0 or text[begin - 1] not in TOKEN_CHARS or text[begin - 1] in "=/" or text[max(0, begin - 2) : begin] in ("\\n", "\\t", "\\r"):
+        return True
+    at = begin
+    while at and text[at - 1] == "-":
+        at -= 1
+    return at < begin and (at == 0 or text[at - 1] not in TOKEN_CHARS or text[at - 1] in "=/")
+
+
 def occurrences(text: str, a: ahocorasick.Automaton) -> list[tuple[int, int]]:
-    """Places where a confirmed value stands as a whole token; ``=`` and ``/`` before it are no part of one."""
+    """Places where a confirmed value stands as a whole token."""
     out = []
     for end, size in a.iter(text):
         begin = end - size + 1
-        if (begin == 0 or text[begin - 1] not in TOKEN_CHARS or text[begin - 1] in "=/" or text[max(0, begin - 2) : begin] in ("\\n", "\\t", "\\r")) and _ends(text, begin, end + 1):
+        if _begins(text, begin) and _ends(text, begin, end + 1):
             out.append((begin, end + 1))
     return out
 
@@ -489,38 +502,51 @@ def _rescan(shared):
     return go
 
 
-def slices_of(confirmed: DataFrame, automaton_bytes: int) -> Iterator[Broadcast]:
-    """The confirmed values in broadcast lists of about ``automaton_bytes``; one list at least."""
-    size = confirmed.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
+def slices_of(values: DataFrame, placeholders: DataFrame, automaton_bytes: int) -> Iterator[tuple[Broadcast, Broadcast]]:
+    """Confirmed values and placeholders in broadcast lists of together about ``automaton_bytes``; one pair at least.
+
+    A pair holds the values whose hash falls into its slice, so that what is broadcast at once doesn't grow with the data.
+    """
+    size = sum(t.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0 for t in (values, placeholders))
     slices = int(size // automaton_bytes) + 1
+    sc = values.sparkSession.sparkContext
     for k in range(slices):
-        part = confirmed.where(F.pmod(F.xxhash64("value"), F.lit(slices)) == k)
-        yield confirmed.sparkSession.sparkContext.broadcast([r["value"] for r in part.collect()])
+        mine = F.pmod(F.xxhash64("value"), F.lit(slices)) == k
+        yield sc.broadcast([r["value"] for r in values.where(mine).collect()]), sc.broadcast([r["value"] for r in placeholders.where(mine).collect()])
+
+
+def without(rows: DataFrame, shared: DataFrame, broadcast_bytes: int = 16 << 20) -> DataFrame:
+    """The rows whose value isn't shared. ``shared`` is broadcast after a check of its size, else joined by shuffle, where
+    a value that many rows hold is split by adaptive execution (each shared value is one row)."""
+    size = shared.agg(F.sum(F.octet_length("value")).alias("b")).first()["b"] or 0
+    return rows.join(F.broadcast(shared) if size <= broadcast_bytes else shared.hint("merge"), "value", "left_anti")
 
 
 def find(df: DataFrame, key: str = "file_id", owner: str = "repo_name", content: str = "content", max_owners: int = MAX_OWNERS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``file_id, line_no`` of every place, each once. Confirmed values are taken in slices as in ``redact``."""
     indexed = materialize(index(df, key, owner, content))
-    shared = shared_values(indexed, max_owners)
-    kept = materialize(indexed.join(shared, "value", "left_anti").select("file_id", "line_no", "value"))
+    shared = materialize(shared_values(indexed, max_owners).select("value"))
+    # key blocks have no value to look up
+    blocks, valued = indexed.where("value = ''"), indexed.where("value != ''")
+    kept = materialize(without(valued.select("file_id", "line_no", "value"), shared))
     confirmed = kept.where(F.col("value").rlike(CONFIRMED)).select("value").distinct()
-    places = kept.select("file_id", "line_no")
+    places = kept.select("file_id", "line_no").unionByName(blocks.select("file_id", "line_no"))
     files = df.select(F.col(key).cast("long").alias("file_id"), F.col(content).alias("content"))
-    for values in slices_of(confirmed, automaton_bytes):
+    for values, _ in slices_of(confirmed, shared.limit(0), automaton_bytes):
         places = places.unionByName(files.mapInArrow(_rescan(values), "file_id long, line_no long"))
     return places.distinct()
 
 
-def secret_spans(text: str, placeholders: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """What is to be masked of the literal secrets of a text."""
-    spans = []
+def secret_spans(text: str) -> list[tuple[int, int, str]]:
+    """What is to be masked of the literal secrets of a text, with the value it belongs to (of a key block: none)."""
+    spans, value = [], ""
     for begin, end, v in candidates(text):
-        if v in placeholders:
-            continue
         if v == "" and text.startswith("-----BEGIN", begin):
-            spans += _key_body(text, KEY_BLOCK.match(text, begin))
+            spans += [(a, b, "") for a, b in _key_body(text, KEY_BLOCK.match(text, begin))]
         else:
-            spans.append((begin, end))
+            # parts of a joined literal follow the first one, which has the whole value
+            value = value if v == "\0" else v
+            spans.append((begin, end, value))
     return spans
 
 
@@ -538,7 +564,10 @@ def redact_text(text: str | None, placeholders: frozenset[str] = frozenset(), a:
     """The text with each secret replaced by a mask; key blocks keep their marks and line structure."""
     if not text:
         return text
-    return masked(text, secret_spans(text, placeholders) + (occurrences(text, a) if a is not None else []))
+    return masked(text, [(x, y) for x, y, v in secret_spans(text) if v not in placeholders] + (occurrences(text, a) if a is not None else []))
+
+
+SPANS = "file_id long, content string, spans array<struct<a: long, b: long, v: string>>"
 
 
 def _redact(values, placeholders, first: bool, last: bool):
@@ -549,14 +578,15 @@ def _redact(values, placeholders, first: bool, last: bool):
         for b in batches:
             texts, spans = b.column(1).to_pylist(), []
             for k, text in enumerate(texts):
-                own = [] if not text else secret_spans(text, known) if first else [(x["a"], x["b"]) for x in b.column(2)[k].as_py()]
-                spans.append(own + (occurrences(text, a) if text and a is not None else []))
+                own = [] if not text else secret_spans(text) if first else [(x["a"], x["b"], x["v"]) for x in b.column(2)[k].as_py()]
+                # an occurrence is a secret in any case, hence no value that a later slice could know as a placeholder
+                spans.append([x for x in own if x[2] not in known] + ([(x, y, "") for x, y in occurrences(text, a)] if text and a is not None else []))
             if last:
-                texts = [masked(t, x) if t else t for t, x in zip(texts, spans)]
+                texts = [masked(t, [(x, y) for x, y, _ in z]) if t else t for t, z in zip(texts, spans)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["file_id", "content"])
             else:
-                pairs = pa.array([[{"a": x, "b": y} for x, y in z] for z in spans], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pairs], names=["file_id", "content", "spans"])
+                kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("v", pa.string())]))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"a": x, "b": y, "v": v} for x, y, v in z] for z in spans], kind)], names=["file_id", "content", "spans"])
 
     return go
 
@@ -564,16 +594,15 @@ def _redact(values, placeholders, first: bool, last: bool):
 def redact(df: DataFrame, key: str = "file_id", owner: str = "repo_name", content: str = "content", max_owners: int = MAX_OWNERS, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """``file_id, content`` with every secret masked, one row per row of ``df``.
 
-    Confirmed values are taken in slices of at most ``automaton_bytes``, one pass over the texts each.
+    Candidates are found once; confirmed values and placeholders are taken in slices of ``automaton_bytes``,
+    through which the texts pass in one chain of maps without shuffle.
     """
-    sc = df.sparkSession.sparkContext
     indexed = materialize(index(df, key, owner, content).select("value", "owner", "copy").where("value != ''").distinct())
     shared = materialize(shared_values(indexed, max_owners).select("value"))
-    placeholders = sc.broadcast([r["value"] for r in shared.collect()])
-    confirmed = materialize(indexed.join(shared, "value", "left_anti").where(F.col("value").rlike(CONFIRMED)).select("value").distinct())
+    confirmed = materialize(without(indexed.where(F.col("value").rlike(CONFIRMED)).select("value").distinct(), shared))
     out = df.select(F.col(key).cast("long").alias("file_id"), F.col(content).alias("content"))
-    slices = list(slices_of(confirmed, automaton_bytes))
-    for k, values in enumerate(slices, 1):
+    slices = list(slices_of(confirmed, shared, automaton_bytes))
+    for k, (values, placeholders) in enumerate(slices, 1):
         last = k == len(slices)
-        out = out.mapInArrow(_redact(values, placeholders, k == 1, last), "file_id long, content string" + ("" if last else ", spans array<struct<a: long, b: long>>"))
+        out = out.mapInArrow(_redact(values, placeholders, k == 1, last), "file_id long, content string" if last else SPANS)
     return out

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -191,3 +192,46 @@ def test_long_text_is_read_whole():
 @pytest.mark.parametrize("part", ["user=a;host=b;", "token: ", "login ", '"', "connect('a',", "key=", "://a:", " "])
 def test_long_lines_of_one_kind(part):
     assert c.candidates(part * 30_000) == []
+
+
+@pytest.mark.parametrize("mask", ["[REDACTED]", "[MASKED]", "***REDACTED***", "(hidden)", "<removed>", "{{secret}}", "REDACTED_FOR_SECURITY", "xxxxxxxx", "[token removed]"])
+def test_masks_are_no_secrets(mask):
+    assert c.candidates(f'password = "{mask}"\nexport DB_PASSWORD="{mask}"\n<password>{mask}</password>\nu = "https://app:{mask}@h.example"') == []
+
+
+def test_hyphens_before_a_value():
+    value = "q8ZrT1vX0pLm4nWc7YbK"
+    a = c.automaton_of([value])
+    assert len(c.occurrences(f"tool -{value} --{value} x=-{value}", a)) == 3
+    assert not c.occurrences(f"id a-{value} a--{value}", a)
+
+
+def test_long_names_and_far_contexts():
+    assert lines("a" * 5000 + '_password = "q8ZrT1vX0pLm4nWc7YbK"') == [1]
+    assert lines('x = "Server=db.example;' + "Option=plain words here;" * 100 + 'Password=blue river stone;"') == [1]
+    assert lines("client.login(" + '"a", ' * 20 + '"tr33House9!")') == [1]
+
+
+def random_files(seed):
+    r = random.Random(seed)
+    values = ["".join(r.choices("ABCDEFGHabcdefgh0123456789", k=20)) + "7a" for _ in range(6)] + ["tr33House9!", "blue river stone"]
+    shapes = ['API_KEY = "{}"', "password: {}", "x = f({})", "cfg.{}.b", "u?a={}&b", "path/{}", 'm("\\n{}")', "# {}", "{}", '"https://app:{}@h.example/"', KEY.replace("{", "")]
+    return [(k, f"r{k % 5}", "\n".join(r.choice(shapes).format(r.choice(values)) for _ in range(r.randint(0, 9))), 0, "") for k in range(60)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_slices_find_the_same_places(spark, seed):
+    rows = random_files(seed)
+    whole = {tuple(r) for r in c.find(table(spark, rows), max_owners=3).collect()}
+    assert whole and {tuple(r) for r in c.find(table(spark, rows), max_owners=3, automaton_bytes=60).collect()} == whole
+    texts = {tuple(r) for r in c.redact(table(spark, rows), max_owners=3).collect()}
+    assert {tuple(r) for r in c.redact(table(spark, rows), max_owners=3, automaton_bytes=60).collect()} == texts
+    # placeholders stay in the texts, hence are looked for as before
+    again = [(i, rows[i][1], t, 0, "") for i, t in texts]
+    assert c.find(table(spark, again), max_owners=3).count() == 0
+
+
+def test_shared_values_join_without_broadcast(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "file_id long, value string")
+    shared = spark.createDataFrame([("a",)], "value string")
+    assert [r["file_id"] for r in c.without(rows, shared, 0).collect()] == [2] == [r["file_id"] for r in c.without(rows, shared).collect()]
