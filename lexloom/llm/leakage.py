@@ -3,21 +3,23 @@
 *Normal form.* Both sides lose escapes (HTML entities, backslash escapes), case and punctuation;
 what stays are words (letters, digits, ``_``) with one blank between them.
 
-*Filter (q-gram lemma).* A passage of ``n`` characters with ``k`` altered words shares at least
-``n + 1 - q - k * (q + w)`` of its q-grams with the item (``w``: length of an altered word), all of
-them near one diagonal. Q-grams of every document are looked up among those that stand in one item
-only; hits are counted per document, item and diagonal band. Bands overlap by half, so that a
-passage lies whole in one of them. Bands with fewer than ``least`` hits, a bound below that of any
-passage of ``words`` words, are left out.
-
-*Verification.* Around each kept band the words of both sides are aligned, within a band of word
-diagonals, by a local alignment in which an equal word earns its length, an altered word costs
+*Filter (q-gram lemma).* An altered word of ``w`` characters destroys at most ``q - 1 + w`` q-grams. So
+a passage that covers a window of ``words`` of the item's own words, ``budget`` of which are altered,
+shares with it at least the q-grams of the window less those that the longest ``budget`` words can destroy,
+all of them near one diagonal. This bound is computed for every window of every item, from q-grams
+of 16 characters that stand in one item only where that leaves ``ENOUGH``; where it doesn't (idioms,
+short words, formulas), from all of 16, those of several items included, or else from those of 8 in the same way. Hits are counted per document, item and diagonal band; bands
+overlap by half, so that a passage lies whole in one of them. A band is retained if its hits reach the least bound
+of the windows that they touch, and never asked for more than ``least``, as words put in between destroy q-grams, too.
+
+*Verification.* Around each kept band, from each word diagonal that has hits, the words of both sides are
+aligned, within a band of word diagonals, by a local alignment in which an equal word earns its length, an altered word costs
 three times its length, words put in between (line numbers, markup) cost little, and words of
 passages that stand in several items count nothing. The document holds the item when the best
 alignment spans at least ``words`` words of the item that no other item has.
 
-The items are a stated query set: they are cut into slices of at most ``slice_chars`` characters,
-each slice is broadcast and held against all documents in one map without shuffle.
+The items are a stated query set: they are cut into slices of about ``slice_chars`` characters (about 60 bytes
+of arrays each), each slice is broadcast and held against all documents in one map without shuffle.
 
 Defined results: null, empty or short texts hold nothing and aren't held; a pair occurs once however
 many passages it shares; items with equal texts share all passages, hence none is found; rows with a null id are left out;
@@ -28,7 +30,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,17 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import wordstream as ws
 
-Q = 16
+LONG, SHORT = 16, 8  # characters of a q-gram
 BAND = 256
-LEAST = 16
+LEAST, ENOUGH = 24, 6
+ALTERED = 8  # one word in so many may be altered
+PLACES = 64  # of a q-gram that an item repeats more often, the first places stand for all
 WORDS = 25
 SHARED_RUN = 8
 SIDE = 20  # half width of the word band
+SAME = 4  # word diagonals so near to each other are followed once
 MARGIN = 60  # words of the document looked at on either side of the hits
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 1_000_000
 _BITS = 22
 _ESCAPE = re.compile(r"(?<!\\)\\+(?:u([0-9a-fA-F]{4})|[nrtbf0])")
 _NUMBERED = re.compile(r"(?m)^[ >|]{0,6}(\d{1,5})[ |:.)\t][^\n]*\n[ >|]{0,6}\d{1,5}[ |:.)\t][^\n]*\n[ >|]{0,6}\d{1,5}[ |:.)\t]")
@@ -81,23 +87,51 @@ def stream(w: ws.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return chars, begin, word
 
 
-def qgrams(chars: np.ndarray, q: int = Q) -> np.ndarray:
-    """Hashes of all q-grams (q a power of two) of a stream of code points."""
-    h, width, base = chars + np.uint64(7), 1, 0x9E3779B97F4A7C15
-    while width < q:
+def qgrams(chars: np.ndarray, sizes: Collection[int] = (LONG, SHORT)) -> dict[int, np.ndarray]:
+    """Hashes of all q-grams of a stream of code points, by q (powers of two)."""
+    h, width, base, out = chars + np.uint64(7), 1, 0x9E3779B97F4A7C15, {}
+    while width < max(sizes):
         if len(h) <= width:
-            return np.zeros(0, np.uint64)
-        h = h[:-width] * np.uint64(base) + h[width:]
-        h ^= h >> np.uint64(31)
+            h = np.zeros(0, np.uint64)
+        else:
+            h = h[:-width] * np.uint64(base) + h[width:]
+            h ^= h >> np.uint64(31)
         base = base * 0xD6E8FEB86659FD93 % 2**64
         width *= 2
-    return ws.mix64(h)
+        if width in sizes:
+            out[width] = ws.mix64(h)
+    return out
+
+
+class Index(NamedTuple):
+    """Q-grams of one size with the places they have in items, and how many hits a band needs that touches a place."""
+
+    q: int
+    grams: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    form: np.ndarray
+    place: np.ndarray
+    need: np.ndarray
+    bits: np.ndarray
+
+    def hits(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a place in ``g`` and an entry of the index."""
+        near = np.flatnonzero(self.bits[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
+        if not len(near):
+            return near, near
+        k = np.minimum(np.searchsorted(self.grams, g[near]), len(self.grams) - 1)
+        hit = self.grams[k] == g[near]
+        near, k = near[hit], k[hit]
+        reps = self.count[k]
+        pos = np.repeat(near, reps)
+        return pos, np.repeat(self.start[k], reps) + np.arange(len(pos)) - np.repeat(np.cumsum(reps) - reps, reps)
 
 
 class Items:
     """The query set of one slice, as arrays that a worker needs."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], shared: set[int]):
+    def __init__(self, ids: list[int], texts: list[str | None], shared: set[int], words: int = WORDS, least: int = LEAST):
         forms, owner = [], []
         for k, t in enumerate(texts):
             n = normal(t)
@@ -120,22 +154,63 @@ class Items:
         self.weight[held] = 0
         self.own = np.concatenate([[0], np.cumsum(~held)])  # words no other item has, so far
         chars, begin, word = stream(w)
-        g = qgrams(chars)
-        form = w.owner[word[: len(g)]]
-        same = form == w.owner[word[Q - 1 :]] if len(g) else form
-        g, place, form = g[same], np.flatnonzero(same), form[same]
-        item = self.owner[form]
-        order = np.lexsort((item, g))
-        g, place, form, item = g[order], place[order], form[order], item[order]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([start, [len(g)]]))
-        alone = item[start] == item[start + count - 1] if len(g) else start.astype(bool)  # one item only
-        self.grams, self.start, self.count = g[start][alone], start[alone], count[alone]
-        self.form, self.place = form, place - begin[:-1][self.first[form]] if len(g) else place
-        self.word_at = word
+        self.word_at = word.astype(np.int32)
         self.stream_first = begin[self.first[:-1]] if len(forms) else begin[:0]
-        self.bits = np.zeros(1 << _BITS, bool)
-        self.bits[(self.grams >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.indexes = self._indexes(w, chars, begin, word, ~held, words, least)
+
+    def _indexes(self, w: ws.Words, chars: np.ndarray, begin: np.ndarray, word: np.ndarray, own: np.ndarray, words: int, least: int) -> list[Index]:
+        own = np.flatnonzero(own)
+        a = own[: max(0, len(own) - words + 1)]
+        b = own[words - 1 :]
+        whole = w.owner[a] == w.owner[b] if len(a) else np.zeros(0, bool)
+        if not whole.any():
+            return []
+        a, b = a[whole], b[whole]
+        budget = words // ALTERED
+        sizes = (w.ends - w.starts)[own]
+        longest = np.partition(np.lib.stride_tricks.sliding_window_view(sizes, words)[whole], words - budget, axis=1)[:, words - budget :].sum(axis=1)
+        found = qgrams(chars)
+        usable, alone, bound = {}, {}, {}
+        for q, g in found.items():
+            form = w.owner[word[: len(g)]]
+            inside = form == w.owner[word[q - 1 :]]
+            item = self.owner[form]
+            order = np.lexsort((np.arange(len(g)), form, g))
+            start = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+            size = np.diff(np.concatenate([start, [len(g)]]))
+            first, last = np.minimum.reduceat(item[order], start), np.maximum.reduceat(item[order], start)
+            only = np.zeros(len(g), bool)
+            only[order] = np.repeat(first == last, size)
+            of_form = np.flatnonzero(np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (form[order][1:] != form[order][:-1])]))
+            rank = np.arange(len(g)) - np.repeat(of_form, np.diff(np.concatenate([of_form, [len(g)]])))
+            few = np.zeros(len(g), bool)
+            few[order] = rank < PLACES
+            usable[q], alone[q] = inside & few, inside & few & only
+            lost = longest + budget * (q - 1)
+            until = np.maximum(begin[b + 1] - q, begin[a])
+            for all_items, counted in ((False, alone[q]), (True, usable[q])):
+                edge = np.concatenate([[0], np.cumsum(counted)])
+                bound[q, all_items] = edge[np.minimum(until, len(g))] - edge[np.minimum(begin[a], len(g))] - lost
+        out, left = [], np.ones(len(a), bool)
+        for q, all_items in ((LONG, False), (LONG, True), (SHORT, False), (SHORT, True)):
+            last = q == SHORT and all_items
+            mine = left & ((bound[q, all_items] >= ENOUGH) | last)
+            left &= ~mine
+            need = np.clip(bound[q, all_items], 1, least)
+            g = found[q]
+            at = np.zeros(len(g), np.int16)
+            for k in np.flatnonzero(mine)[np.argsort(-need[mine], kind="stable")]:
+                at[begin[a[k]] : begin[b[k] + 1] - q] = need[k]
+            place = np.flatnonzero((at > 0) & (usable if all_items else alone)[q])
+            if not len(place):
+                continue
+            order = place[np.argsort(g[place], kind="stable")]
+            start = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+            form = w.owner[word[order]]
+            bits = np.zeros(1 << _BITS, bool)
+            bits[(g[order] >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+            out.append(Index(q, g[order][start], start.astype(np.int32), np.diff(np.concatenate([start, [len(order)]])).astype(np.int32), form.astype(np.int32), (order - self.stream_first[form]).astype(np.int32), at[order], bits))
+        return out
 
 
 def align(doc: np.ndarray, doc_weight: np.ndarray, items: Items, jobs: list[tuple[int, int, int, int]]) -> np.ndarray:
@@ -189,59 +264,67 @@ def align(doc: np.ndarray, doc_weight: np.ndarray, items: Items, jobs: list[tupl
     return best
 
 
-def holds(texts: list[str | None], items: Items, words: int = WORDS, least: int = LEAST) -> list[tuple[int, int, int]]:
+def holds(texts: list[str | None], items: Items, words: int = WORDS) -> list[tuple[int, int, int]]:
     """``text index, item index, own words spanned`` of every text that holds an item."""
     found: dict[tuple[int, int], int] = {}
-    if not len(items.grams):
+    if not items.indexes:
         return []
     for x, y in ws.blocks(texts):
         w = ws.words([normal(t) for t in texts[x:y]], "word")
         if not len(w.hashes):
             continue
         chars, begin, word = stream(w)
-        g = qgrams(chars)
-        near = np.flatnonzero(items.bits[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(items.grams, g[near]), len(items.grams) - 1)
-        hit = items.grams[k] == g[near]
-        near, k = near[hit], k[hit]
-        if not len(near):
-            continue
-        reps = items.count[k]
-        pos = np.repeat(near, reps)
-        entry = np.repeat(items.start[k], reps) + np.arange(len(pos)) - np.repeat(np.cumsum(reps) - reps, reps)
-        form, place = items.form[entry], items.place[entry]
-        owner = w.owner[word[pos]]
+        grams = qgrams(chars, {index.q for index in items.indexes})
         first = begin[np.searchsorted(w.owner, np.arange(y - x))]
-        diagonal = pos - first[owner] - place + (1 << 40)
-        pair = owner * len(items.first) + form
         jobs, named = [], []
-        for shift in (0, BAND // 2):
-            band = (diagonal + shift) // BAND
-            order = np.lexsort((band, pair))
-            p, q, at = pair[order], band[order], order
-            start = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
-            size = np.diff(np.concatenate([start, [len(p)]]))
-            for s, n in zip(start[size >= least], size[size >= least]):
-                h = at[s : s + n]
-                mid = h[n // 2]
-                o, f = owner[mid], form[mid]
-                left, right = word[pos[h].min()], word[pos[h].max()]
-                base = items.word_at[items.place[entry[mid]] + items.stream_first[f]] - word[pos[mid]]
-                # hits far apart are followed from several of them
-                for m in {int(h[0]), int(mid), int(h[-1])}:
-                    base = items.word_at[items.place[entry[m]] + items.stream_first[f]] - word[pos[m]]
-                    at_word = word[pos[m]]
-                    lo = max(np.searchsorted(w.owner, o), min(left, at_word) - MARGIN)
-                    hi = min(np.searchsorted(w.owner, o, "right"), right + MARGIN)
-                    jobs.append((int(lo), int(hi), int(f), int(base)))
-                    named.append((x + int(o), int(items.owner[f])))
+        for index in items.indexes:
+            pos, entry = index.hits(grams[index.q])
+            if not len(pos):
+                continue
+            form, place = index.form[entry].astype(np.int64), index.place[entry].astype(np.int64)
+            owner = w.owner[word[pos]]
+            # a q-gram that reaches into the next text is none of this one
+            good = owner == w.owner[word[pos + index.q - 1]]
+            pos, entry, form, place, owner = pos[good], entry[good], form[good], place[good], owner[good]
+            if not len(pos):
+                continue
+            diagonal = pos - first[owner] - place + (1 << 40)
+            base = items.word_at[place + items.stream_first[form]].astype(np.int64) - word[pos]
+            pair = owner * len(items.first) + form
+            for shift in (0, BAND // 2):
+                band = (diagonal + shift) // BAND
+                order = np.lexsort((base, band, pair))
+                p, q, need = pair[order], band[order], index.need[entry[order]]
+                start = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+                size = np.diff(np.concatenate([start, [len(p)]]))
+                kept = size >= np.minimum.reduceat(need, start)
+                for s, n in zip(start[kept], size[kept]):
+                    h = order[s : s + n]
+                    o, f = owner[h[0]], form[h[0]]
+                    left, right = word[pos[h].min()], word[pos[h].max()]
+                    begins, ends = np.searchsorted(w.owner, o), np.searchsorted(w.owner, o, "right")
+                    # word diagonals come in order; one stands for those up to half the alignment's width away
+                    k = 0
+                    while k < n:
+                        least_base = base[h[k]]
+                        k = int(np.searchsorted(base[h], least_base + SIDE, "right"))
+                        middle = h[int(np.searchsorted(base[h], least_base + SIDE // 2, "right")) - 1]
+                        jobs.append((int(max(begins, left - MARGIN)), int(min(ends, right + MARGIN)), int(f), int(base[middle])))
+                        named.append((x + int(o), int(items.owner[f])))
         weight = np.minimum(w.ends - w.starts + 1, 16).astype(np.float32)
-        unique = sorted(set(zip(jobs, named)))
-        for c in range(0, len(unique), 256):
-            part = unique[c : c + 256]
-            for (_, key), span in zip(part, align(w.hashes, weight, items, [j for j, _ in part])):
+        merged: list[list[int]] = []
+        for lo, hi, f, diagonal_, t, i in sorted(((*j, *n) for j, n in zip(jobs, named)), key=lambda v: (v[4], v[2], v[3], v[0])):
+            m = merged[-1] if merged else None
+            if m and m[4] == t and m[2] == f and diagonal_ - m[3] <= SAME and lo <= m[1] and hi >= m[0]:
+                m[0], m[1] = min(m[0], lo), max(m[1], hi)
+            else:
+                merged.append([lo, hi, f, diagonal_, t, i])
+        merged.sort(key=lambda m: m[1] - m[0])  # those of a batch end together
+        for c in range(0, len(merged), 512):
+            part = merged[c : c + 512]
+            for (_, _, _, _, t, i), span in zip(part, align(w.hashes, weight, items, [(m[0], m[1], m[2], m[3]) for m in part])):
                 if span >= words:
-                    found[key] = max(found.get(key, 0), int(span))
+                    found[t, i] = max(found.get((t, i), 0), int(span))
     return [(t, i, s) for (t, i), s in found.items()]
 
 
@@ -253,11 +336,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64))], names=["item_id", "gram"])
 
 
-def _search(items, words: int, least: int):
+def _search(items, words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = items.value
         for b in batches:
-            found = holds(b.column(1).to_pylist(), q, words, least)
+            found = holds(b.column(1).to_pylist(), q, words)
             ids = b.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(ids[t]) for t, _, _ in found], pa.int64()), pa.array([int(q.ids[i]) for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.int64())], names=["doc_id", "item_id", "words"]
@@ -278,7 +361,7 @@ def find(docs: DataFrame, items: DataFrame, words: int = WORDS, least: int = LEA
         mine = F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k
         listed = items.where(mine).orderBy("item_id").collect()
         common = {r["gram"] & (2**64 - 1) for r in shared.join(grams.where(mine).select("gram"), "gram", "left_semi").collect()}
-        q = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in listed], [r["text"] for r in listed], common))
-        found = rows.mapInArrow(_search(q, words, least), "doc_id long, item_id long, words long")
+        q = docs.sparkSession.sparkContext.broadcast(Items([r["item_id"] for r in listed], [r["text"] for r in listed], common, words, least))
+        found = rows.mapInArrow(_search(q, words), "doc_id long, item_id long, words long")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))

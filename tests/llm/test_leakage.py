@@ -81,3 +81,42 @@ def test_normal_form(text):
 def test_long_runs_of_one_character():
     for c in ("\\", "&", "<a ", "1 \n", "-"):
         assert k.holds([c * 200_000], k.Items([1], [sentence(ITEM)], set())) == []
+
+
+def passages(lo, hi, n_words, alter, n=60):
+    """Documents that each hold ``n_words`` random words of one of n items, one word in eight altered; words of lo to hi characters."""
+    r = random.Random(lo * 100 + hi)
+    word = lambda: "".join(r.choices("abcdefghijklmnoprstuvw0123456789", k=r.randint(lo, hi)))
+    items = [" ".join(word() for _ in range(400)) for _ in range(n)]
+    docs = []
+    for x in items:
+        at = r.randint(0, 400 - n_words)
+        held = x.split()[at : at + n_words]
+        if alter:
+            held = [w if (j + 3) % 8 else word() + "q" for j, w in enumerate(held)]
+        docs.append(" ".join([*(word() for _ in range(150)), *held, *(word() for _ in range(150))]))
+    return items, docs
+
+
+@pytest.mark.parametrize("n_words, alter", [(25, False), (25, True), (30, True)])
+@pytest.mark.parametrize("lo, hi", [(1, 1), (1, 2), (1, 3), (2, 4), (3, 9)])
+def test_recall_by_length_of_words(lo, hi, n_words, alter):
+    items, docs = passages(lo, hi, n_words, alter)
+    found = {(t, i) for t, i, _ in k.holds(docs, k.Items(list(range(len(items))), items, set()))}
+    assert sum((i, i) in found for i in range(len(items))) >= 0.95 * len(items) and all(t == i for t, i in found)
+
+
+def test_idioms_of_several_items_are_no_loss():
+    r = random.Random(5)
+    idioms = [" ".join(r.sample(VOCABULARY, 7)) for _ in range(40)]
+    items = [" ".join(r.choice(idioms) for _ in range(60)) for _ in range(20)]
+    docs = [around(" ".join(x.split()[70:110])) for x in items]
+    found = {(t, i) for t, i, _ in k.holds(docs, k.Items(list(range(20)), items, set()))}
+    assert all((i, i) in found for i in range(20))
+
+
+def test_repeated_items_stay_bounded():
+    item = "x y z " * 5000 + sentence(ITEM)
+    made = k.Items([1], [item], set())
+    assert all(len(i.place) < 20_000 for i in made.indexes)
+    assert [i for _, i, _ in k.holds([around(sentence(PASSAGE)), "a b c d e f g"], made)] == [0]
