@@ -6,9 +6,12 @@ Each file is judged by itself, in one pass without shuffle:
   hit counts only in a comment of the file's head or tail, outside quotes; there the sentence must
   say that *this file* is made by a program, or join a word of making with a hands-off word. Tables
   and directives that only program generators write (lexer tables with ``#line``, message
-  descriptors, wrapper stubs) count too, as do lockfiles.
+  descriptors, wrapper stubs) count too, as do lockfiles: by exact name, or by pinned hashes in a file
+  named after locks.
 * **vendored** - a release notice (a version number with words of licence, release or origin) in a
-  comment of the head or tail, or a path through a vendored directory.
+  comment of the head or tail, a path through a folder that only package managers fill, or one through
+  another vendored or release directory if a comment of the head or tail speaks of an origin, a licence or a
+  holder of rights.
 * **minified** - statements without spacing: little white space beside many statement marks. A
   minified suffix in the path halves what is asked of the text but isn't believed alone.
 * **data** - nearly all lines share a few comma-separated shapes, or the file is one long literal
@@ -52,10 +55,16 @@ NOTICE_WORDS = {
 }
 #: Marks that only program generators write. Two different ones, or one many times, are needed.
 MACHINE_MARKS = ("_descriptor.descriptor(", "serialized_start=", "serialized_end=", "yy_break", "yy_accept", "static const short yy", "static const yytype", "yytext_ptr", "#line ", "$root.", "$util.", "_wrap_", "swigintern", "moc_literal", "qt_meta_", "#define have_", "descriptor_pb2", "goog.provide", "__pyx_", "bits_ & 0x", "memoizedserializedsize")
-#: Paths.
-LOCKFILE = re.compile(r"(^|/)([\w.-]*[.-]lock(\.json|\.ya?ml|file)?|[\w.-]+\.lock|go\.sum|npm-shrinkwrap\.json|package-lock\.json|pnpm-lock\.ya?ml)$", re.I)
-VENDORED_DIR = re.compile(r"(^|/)(node_modules|third[_-]party|bower_components|site-packages|externals?|jspm_packages|vendor/[^/]+|pods/[^/]+)/", re.I)
-RELEASE_DIR = re.compile(r"(^|/)[a-z][\w.]*-v?\d+\.\d+(\.\d+)?/", re.I)
+#: Paths. Names of lockfiles are believed by themselves, and so are folders that only tools fill.
+LOCKFILES = {
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "deno.lock", "cargo.lock", "poetry.lock", "pipfile.lock", "uv.lock", "pdm.lock", "gemfile.lock", "composer.lock", "go.sum", "mix.lock", "pubspec.lock", "flake.lock", "podfile.lock", "cartfile.resolved", "package.resolved",
+    "packages.lock.json", "paket.lock", "conan.lock", "gradle.lockfile", "elm-stuff.lock", "berksfile.lock", "chart.lock", "stack.yaml.lock", "cabal.project.freeze", "manifest.lock", "shrinkwrap.yaml",
+}
+INSTALLED_DIR = re.compile(r"(^|/)(node_modules|bower_components|site-packages|dist-packages|jspm_packages)/", re.I)
+#: These need support from the text.
+VENDORED_DIR = re.compile(r"(^|/)(third[_-]?party|externals?|vendor(ed)?/[^/]+|pods/[^/]+|[a-z][\w.]*-v?\d+\.\d+(\.\d+)?)/", re.I)
+LOCK_NAME = re.compile(r"(^|[./-])lock(file)?(\.\w+)?$", re.I)
+LOCKED = re.compile(r"(?im)^\s*\"?(integrity|checksum|hash(es)?|sha\d*|resolved|lockfile_?version|resolution|rev|narhash|content-hash)\"?\s*[:= ]")
 MINIFIED_NAME = re.compile(r"([.-](min|bundle|chunk|pack|prod)(\.[0-9a-f]{6,})?\.(m?js|css)|-[0-9a-f]{8,}\.(m?js|css))$", re.I)
 
 COMMENT = re.compile(r"^\s*(//+|#+!?|/\*+!?|\*+|--|<!--|;+|%+|\"\"\"|'''|rem\b)\s?(.*?)\s*(\*/|-->|\"\"\"|''')?\s*$", re.I)
@@ -159,27 +168,33 @@ def _comments(lines: list[str]) -> Iterator[str]:
 
 
 def notice_kind(lines: list[str]) -> str | None:
+    return notice(lines)[0]
+
+
+def notice(lines: list[str]) -> tuple[str | None, bool]:
+    """What a notice in the head or tail says the file is, and whether a comment there speaks of an origin or a licence at all."""
     a = automaton()
     recent: list[tuple[int, str]] = []
-    found = None
+    found, origin = None, False
     for n, said in enumerate(_comments(lines)):
         bare = QUOTED.sub(" ", said)
         groups = {g for _, g in a.iter(bare.lower())}
         if not groups:
             continue
+        origin = origin or "origin" in groups and bool(ORIGIN_STRONG.search(bare) or VERSION.search(bare))
         if "made" in groups and (SELF_MADE.search(bare) or "off" in groups):
-            return "generated"
+            return "generated", origin
         if "off" in groups and re.search(r"(?i)\b(this|generated) file\b|diese[rs]? datei|este archivo|ce fichier", bare):
-            return "generated"
+            return "generated", origin
         if "made" in groups or "off" in groups:
             # the two halves of a notice may stand on neighbouring lines
             recent = [(k, g) for k, g in recent if n - k <= 2] + [(n, g) for g in groups if g != "origin"]
             if {g for _, g in recent} == {"made", "off"} and len(bare) < 160:
-                return "generated"
+                return "generated", origin
         plain = LICENCE_VERSION.sub(" ", bare)
         if "origin" in groups and found is None and len(bare) < 240 and VERSION.search(plain) and "part of" not in bare.lower() and (ORIGIN_STRONG.search(bare) or LIBRARY.search(plain)):
             found = "vendored"
-    return found
+    return found, origin
 
 
 def machine_made(low: str) -> bool:
@@ -228,37 +243,51 @@ def minified(text: str, lines: list[str], path: str) -> bool:
     return len(bare) >= 0.5 * size and bare.count(" ") + bare.count("\t") <= limit * len(bare)
 
 
-def file_kind(path: str | None, content: str | None) -> str | None:
-    """``generated``, ``vendored``, ``minified``, ``data`` or None for hand-written."""
+def locked(path: str, low: str) -> bool:
+    """Whether the file is a lockfile: by its exact name, or by one that speaks of locks and pinned hashes or versions inside."""
+    if path.rsplit("/", 1)[-1].lower() in LOCKFILES or low.count('"integrity": "sha') >= 3 or low.count("checksum = ") >= 5:
+        return True
+    return bool(LOCK_NAME.search(path)) and sum(1 for _ in zip(LOCKED.finditer(low), range(3))) == 3
+
+
+def file_rule(path: str | None, content: str | None) -> tuple[str | None, str | None]:
+    """What the file is (``generated``, ``vendored``, ``minified``, ``data``, None: hand-written) and the rule that says so."""
     if not content or not content.strip():
-        return None
-    text = content.lstrip("﻿").replace("\r\n", "\n")
+        return None, None
+    text = content.lstrip("\ufeff").replace("\r\n", "\n")
     path = path or ""
     lines = [x for x in text.split("\n") if x.strip()]
-    kind = notice_kind(lines)
+    kind, origin = notice(lines)
     if kind:
-        return kind
+        return kind, "notice"
     low = text.lower()
-    if LOCKFILE.search(path) or low.count('"integrity": "sha') >= 3 or low.count("checksum = ") >= 5:
-        return "generated"
-    if VENDORED_DIR.search(path) or RELEASE_DIR.search(path):
-        return "vendored"
+    if locked(path, low):
+        return "generated", "lockfile"
+    if INSTALLED_DIR.search(path):
+        return "vendored", "path"
+    if origin and VENDORED_DIR.search(path):
+        return "vendored", "path and origin"
     if machine_made(low):
-        return "generated"
+        return "generated", "marks"
     if minified(text, lines, path):
-        return "minified"
+        return "minified", "name and shape" if MINIFIED_NAME.search(path) else "shape"
     if data_like(text, lines):
-        return "data"
-    return None
+        return "data", "shape"
+    return None, None
+
+
+def file_kind(path: str | None, content: str | None) -> str | None:
+    return file_rule(path, content)[0]
 
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        kinds = [file_kind(p, c) for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string())], names=["file_id", "kind"])
+        kinds = [file_rule(p, c) for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in kinds], pa.string()), pa.array([r for _, r in kinds], pa.string())], names=["file_id", "kind", "rule"])
 
 
 def judge(df: DataFrame, key: str = "file_id", path: str = "path", content: str = "content") -> DataFrame:
-    """``file_id, kind`` (kind null: hand-written), one row per file."""
+    """``file_id, kind, rule`` (kind null: hand-written), one row per file."""
     rows = df.select(F.col(key).cast("long").alias("file_id"), F.col(path).alias("path"), F.col(content).alias("content"))
-    return rows.mapInArrow(_kinds, "file_id long, kind string").groupBy("file_id").agg(F.max("kind").alias("kind"))
+    found = rows.mapInArrow(_kinds, "file_id long, kind string, rule string").groupBy("file_id").agg(F.max(F.struct("kind", "rule")).alias("k"))
+    return found.select("file_id", "k.kind", "k.rule")

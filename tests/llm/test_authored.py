@@ -81,7 +81,23 @@ def test_mark_and_line_ends_do_not_matter():
 
 
 def test_judge_gives_one_row_per_file(spark):
-    rows = [(1, "a.py", HAND, "u"), (2, "x.lock", "x", "u"), (2, "x.lock", "x", "u"), (3, None, None, None)]
+    rows = [(1, "a.py", HAND, "u"), (2, "yarn.lock", "x", "u"), (2, "yarn.lock", "x", "u"), (3, None, None, None)]
     df = spark.createDataFrame(rows, "file_id long, path string, content string, kind string")
-    assert {tuple(r) for r in a.judge(df).collect()} == {(1, None), (2, "generated"), (3, None)}
+    assert {tuple(r) for r in a.judge(df).collect()} == {(1, None, None), (2, "generated", "lockfile"), (3, None, None)}
     assert a.judge(df.limit(0)).count() == 0
+
+
+PINNED = '{\n  "lockfileVersion": 1,\n  "a": {\n    "integrity": "abc",\n    "resolved": "d"\n  }\n}\n'
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "rule"),
+    [
+        ("src/write.lock", HAND, None), ("db/row-lock.json", '{"table": "row", "lock": true}', None), ("deps.lock.json", PINNED, "lockfile"), ("x/Cargo.lock", "x", "lockfile"), ("a.lock", PINNED, "lockfile"),
+        ("api-1.0/handlers.py", HAND, None), ("externals/a.py", HAND, None), ("vendor/x/a.py", HAND, None), ("third_party/a.py", "# Copyright 2011 The x authors\n" + HAND, "path and origin"),
+        ("lib-1.2.3/a.py", "# under the X Licence, see https://x.example/licence v1.2\n" + HAND, "path and origin"), ("node_modules/x/a.py", HAND, "path"),
+        ("a.py", "\n".join(f"# line {k} of a licence" for k in range(24)) + "\n# Code generated by toolx. DO NOT EDIT.\n" + HAND, "notice"),
+    ],
+)
+def test_rules(path, text, rule):
+    assert a.file_rule(path, text)[1] == rule
