@@ -7,7 +7,7 @@ from tests.compare import DATA, connection, rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 FOUND = {
-    "p1_found": ["file_id bigint", "line_no bigint"], "p3_found": ["file_id bigint"], "p4_found": ["tbl string", "row_id bigint"], "p6_ids": ["doc_id bigint", "ids array<int>"], "p7_found": ["doc_id bigint", "item_id bigint"], "p8_found": ["doc_id bigint", "subject string"],
+    "p1_found": ["file_id bigint", "line_no bigint"], "p2_found": ["chunk string"], "p3_found": ["file_id bigint"], "p4_found": ["tbl string", "row_id bigint"], "p6_ids": ["doc_id bigint", "ids array<int>"], "p7_found": ["doc_id bigint", "item_id bigint"], "p8_found": ["doc_id bigint", "subject string"],
 }
 
 
