@@ -2,11 +2,10 @@ import os
 
 import pytest
 
-from lexloom.plans import core_queries, tokenizer_queries, tokenizer_sql
+from lexloom.plans import tokenizer_queries, tokenizer_sql
 from tests.compare import DATA, connection, rows
 
-QUERIES = core_queries.QUERIES | tokenizer_queries.QUERIES
-SQL = core_queries.SQL | tokenizer_sql.SQL
+QUERIES, SQL = tokenizer_queries.QUERIES, tokenizer_sql.SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
