@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,9 @@ class Vocabulary:
         self._follows: dict[int, bool] = {}
 
     @classmethod
-    def from_file(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)})
+    def from_bytes(cls, content: bytes) -> Vocabulary:
+        """Of a rank file: a token in base64 and its rank on each line."""
+        return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())})
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes ``token``; (token, token) for a single byte."""
@@ -174,11 +174,6 @@ class PrefixEncoder:
         return out[::-1]
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary.from_file(path)
-
-
 class PieceCache(dict):
     """piece text -> ids, filled through the dynamic program."""
 
@@ -195,14 +190,11 @@ class PieceCache(dict):
         return ids
 
 
-_CACHES: dict[str, PieceCache] = {}
+_CACHES: dict[int, PieceCache] = {}
 
 
-def encode_texts(texts: list[str | None], path: str, pattern: str = PATTERN) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[str | None], cache: PieceCache, pattern: str = PATTERN) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and ids of all texts."""
-    cache = _CACHES.get(path)
-    if cache is None:
-        cache = _CACHES[path] = PieceCache(vocabulary(path))
     find = regex.compile(pattern).findall
     offsets, flat = [0], []
     extend, look = flat.extend, cache.__getitem__
@@ -214,12 +206,17 @@ def encode_texts(texts: list[str | None], path: str, pattern: str = PATTERN) ->
     return np.array(offsets, np.int32), np.array(flat, np.int32)
 
 
-def _encode(path: str, pattern: str):
+def _encode(content, pattern: str):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one vocabulary and one cache per worker, whatever the number of tasks
+        key = hash(content.value)
+        if key not in _CACHES:
+            _CACHES.clear()
+            _CACHES[key] = PieceCache(Vocabulary.from_bytes(content.value))
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                offsets, flat = encode_texts(part.column(1).to_pylist(), path, pattern)
+                offsets, flat = encode_texts(part.column(1).to_pylist(), _CACHES[key], pattern)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
@@ -227,7 +224,11 @@ def _encode(path: str, pattern: str):
 
 
 def encode(df: DataFrame, key: str, text: str, path: str, pattern: str = PATTERN) -> DataFrame:
-    """``key, ids`` for every row of ``df``; a map without shuffle. ``path`` is a rank file all workers can read."""
+    """``key, ids`` for every row of ``df``; a map without shuffle.
+
+    Only the driver reads the rank file at ``path``; its bytes, as many as the vocabulary has, are broadcast.
+    """
+    content = df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_encode(path, pattern), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(_encode(content, pattern), f"key {kind}, ids array<int>").withColumnRenamed("key", key)

@@ -128,12 +128,16 @@ QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p1_intact": p1_int
 
 # Words and runs of five as another engine counts them.
 _P4 = """WITH texts AS (
-  SELECT 'cosmopedia_v2' AS tbl, row_id, text FROM cosmopedia_v2 UNION ALL SELECT 'fineweb_edu_dedup', row_id, text FROM fineweb_edu_dedup),
-listed AS (SELECT tbl, row_id, regexp_extract_all(lower(nfc_normalize(text)), '\\p{L}+') AS w FROM texts WHERE text IS NOT NULL),
+  SELECT 'cosmopedia_v2' AS tbl, row_id, coalesce(source, '') AS host, text FROM cosmopedia_v2 UNION ALL SELECT 'fineweb_edu_dedup', row_id, coalesce(site, ''), text FROM fineweb_edu_dedup),
+listed AS (SELECT tbl, row_id, host, coalesce(regexp_extract_all(lower(nfc_normalize(text)), '\\p{L}+'), []) AS w FROM texts),
 runs AS (SELECT tbl, row_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT tbl, row_id, w, unnest(range(1, len(w) - 3)) AS i FROM listed)),
 later AS (SELECT tbl, row_id, i FROM (SELECT *, row_number() OVER (PARTITION BY tbl, row_id, g ORDER BY i) AS n FROM runs) WHERE n > 1),
-covered AS (SELECT tbl, row_id, count(DISTINCT i + k) AS n FROM later, (SELECT unnest(range(0, 5)) AS k) GROUP BY tbl, row_id)
-SELECT l.tbl, l.row_id FROM listed l JOIN covered c ON l.tbl = c.tbl AND l.row_id = c.row_id WHERE c.n * 5 >= len(l.w)"""
+covered AS (SELECT tbl, row_id, count(DISTINCT i + k) AS n FROM later, (SELECT unnest(range(0, 5)) AS k) GROUP BY tbl, row_id),
+shares AS (SELECT l.tbl, l.row_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, CASE WHEN len(w) > 0 THEN coalesce(n, 0) / len(w) ELSE 0.0 END AS share FROM listed l LEFT JOIN covered c ON l.tbl = c.tbl AND l.row_id = c.row_id),
+hosts AS (SELECT tbl, host, count(*) AS n_docs, count(*) FILTER (WHERE share >= 0.2) AS n_failed FROM shares GROUP BY tbl, host),
+sums AS (SELECT tbl, sum(n_docs)::DOUBLE AS n, sum(n_failed) / sum(n_docs) AS p, sum(n_failed * n_failed / n_docs) AS sq, sum(n_docs * n_docs)::DOUBLE AS sz, count(*) - 1 AS k FROM hosts GROUP BY tbl),
+prior AS (SELECT tbl, p, 1 / least(greatest(CASE WHEN p > 0 AND p < 1 AND n - sz / n - k > 0 THEN (sq - n * p * p - p * (1 - p) * k) / (p * (1 - p) * (n - sz / n - k)) ELSE 0.001 END, 0.001), 0.5) - 1 AS w FROM sums),
+rates AS (SELECT h.*, (n_failed + p * w) / (n_docs + w) AS host_rate FROM hosts h JOIN prior USING (tbl))"""
 _HEAVY = "WHERE chunk IS NOT NULL AND cnt > 0"
 _FREQUENT = f"FROM agg_chunks {_HEAVY} GROUP BY chunk HAVING sum(cnt) * 500 >= (SELECT sum(cnt) FROM agg_chunks {_HEAVY})"
 # Jobs that hold, their records, and the largest size at which every job keeps its share within its cap.
@@ -155,7 +159,8 @@ SQL: dict[str, str] = {
     "p1_intact": "SELECT file_id, CAST(length(content) - length(replace(content, chr(10), '')) AS BIGINT) AS line_feeds, length(content) > 0 AS has_text FROM code_files",
     "p2_found": f"SELECT decode(chunk) AS chunk {_FREQUENT}",
     "p2_counts": f"SELECT decode(chunk) AS chunk, CAST(sum(cnt) AS BIGINT) AS cnt, true AS above_lower, true AS below_upper {_FREQUENT}",
-    "p4_found": _P4,
+    "p4_found": f"{_P4} SELECT tbl, row_id FROM shares WHERE share >= 0.2",
+    "p4_shares": f"{_P4} SELECT tbl, s.row_id, host, n_words, n_repeated, round(share, 6) AS share, n_docs, n_failed, round(host_rate, 6) AS host_rate, host_rate >= 0.5 AS host_verdict, share >= 0.2 AS found FROM shares s JOIN rates USING (tbl, host)",
     "p5_mix": f"{_MIX} SELECT * FROM used",
     "p5_shares": _SHARES,
 }

@@ -5,8 +5,10 @@ in the same text; words are runs of letters, case and digits and punctuation and
 matter. ``share`` is repeated words over words. A document fails the rule when the share is at
 least ``limit`` (a fifth).
 
-Hosts: failures are counted per host, and the hosts' failure rates are shrunk with a beta prior
-fitted to all hosts by the method of moments, so that a host with two pages isn't condemned by one.
+Hosts: failures are counted per host, and the hosts' failure rates are shrunk with a beta prior, so that a
+host with two pages isn't condemned by one. Each table has a prior of its own, as its hosts are of their own
+kind; it is fitted to the hosts, weighted by their documents, by the method of moments: the spread of the rates beyond
+what chance makes of equal rates gives the correlation ``rho`` inside hosts, and ``1 / rho - 1`` the prior's weight in documents.
 ``host_rate`` is the posterior mean, ``host_verdict`` says whether it reaches ``host_limit``; both
 are joined back to the documents. ``found`` is the document's own rule: a host's record never turns
 an innocent document into a case, it ranks and explains.
@@ -67,22 +69,36 @@ def measure(df: DataFrame, tbl: str, key: str, text: str, host: str | None, run:
     return out.withColumn("share", F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
+RHO = (0.001, 0.5)
+
+
 def host_verdicts(measured: DataFrame, limit: float = 0.2, host_limit: float = 0.5) -> DataFrame:
-    """``tbl, host, n_docs, n_failed, host_rate, host_verdict``, the rates shrunk towards all hosts' mean."""
+    """``tbl, host, n_docs, n_failed, host_rate, host_verdict``, the rates shrunk towards their table's mean."""
+    n, rate, mean = F.col("n_docs"), F.col("n_failed") / F.col("n_docs"), F.col("_failed") / F.col("_docs")
     per = measured.groupBy("tbl", "host").agg(F.count("*").alias("n_docs"), F.sum((F.col("share") >= limit).cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    # moments of the hosts' rates; one row, so the driver may hold it
-    m = per.agg(F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n_docs")).alias("inv")).first()
-    mean = m["f"] / m["n"] if m["n"] else 0.0
-    noise = mean * (1 - mean) * (m["inv"] or 0.0)
-    between = max((m["var"] or 0.0) - noise, 1e-6)
-    strength = min(max(mean * (1 - mean) / between - 1, 1.0), 1000.0)
-    posterior = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return per.withColumn("host_rate", posterior).withColumn("host_verdict", F.col("host_rate") >= host_limit)
-
-
-def judge(measured: DataFrame, limit: float = 0.2, host_limit: float = 0.5) -> DataFrame:
+    # sums of n, n rate, n rate^2 and n^2 per table: as many rows as tables
+    sums = per.groupBy("tbl").agg(F.sum(n).alias("_docs"), F.sum("n_failed").alias("_failed"), F.sum(n * rate * rate).alias("_squares"), F.sum(n.cast("double") * n).alias("_sizes"), F.count("*").alias("_hosts"))
+    pq, free = mean * (1 - mean), F.col("_hosts") - 1
+    spread = F.col("_squares") - F.col("_docs") * mean * mean
+    room = F.col("_docs") - F.col("_sizes") / F.col("_docs") - free
+    rho = F.when((pq > 0) & (room > 0), (spread - pq * free) / F.nullif(pq * room, F.lit(0.0))).otherwise(F.lit(RHO[0]))
+    prior = sums.select("tbl", mean.alias("_mean"), (1 / F.least(F.greatest(rho, F.lit(RHO[0])), F.lit(RHO[1])) - 1).alias("_weight"))
+    posterior = (F.col("n_failed") + F.col("_mean") * F.col("_weight")) / (n + F.col("_weight"))
+    return per.join(F.broadcast(prior), "tbl").withColumn("host_rate", posterior).withColumn("host_verdict", F.col("host_rate") >= host_limit).drop("_mean", "_weight")
+
+
+def joined_back(measured: DataFrame, hosts: DataFrame, broadcast_hosts: int = 200_000, salts: int = 32) -> DataFrame:
+    """Every document with its host's record: the hosts are broadcast after a check of their number; more of them are
+    joined by shuffle with a salt, so that the documents of a hot host go to ``salts`` tasks."""
+    if hosts.count() <= broadcast_hosts:
+        return measured.join(F.broadcast(hosts), ["tbl", "host"])
+    salted = measured.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    copies = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, ["tbl", "host", "_salt"]).drop("_salt")
+
+
+def judge(measured: DataFrame, limit: float = 0.2, host_limit: float = 0.5, broadcast_hosts: int = 200_000) -> DataFrame:
     """Every document with its share, its host's record and ``found``."""
-    measured = materialize(measured.groupBy("tbl", "row_id").agg(F.max_by(F.struct("host", "n_words", "n_repeated", "share"), "share").alias("m")).select("tbl", "row_id", "m.*"))
-    hosts = host_verdicts(measured, limit, host_limit)
-    return measured.join(hosts, ["tbl", "host"]).withColumn("found", F.col("share") >= limit)
+    measured = materialize(measured.groupBy("tbl", "row_id").agg(F.max_by(F.struct("host", "n_words", "n_repeated", "share"), F.struct("share", "host")).alias("m")).select("tbl", "row_id", "m.*"))
+    hosts = materialize(host_verdicts(measured, limit, host_limit))
+    return joined_back(measured, hosts, broadcast_hosts).withColumn("found", F.col("share") >= limit)

@@ -42,3 +42,18 @@ def test_documents_and_hosts(spark):
     assert out[50]["n_words"] == 0 and out[52]["share"] == 0 and out[50]["host"] == "" and len(out) == 40
     assert out[0]["host_verdict"] and not out[10]["host_verdict"] and out[0]["host_rate"] < 1
     assert r.judge(r.measure(df.limit(0), "t", "row_id", "text", "site")).count() == 0
+
+
+def test_each_table_has_its_prior(spark):
+    def measured(tbl, hosts, salt=0):
+        return [(tbl, 1000 * h + k, f"h{h}", 10, 5, 0.5 if k < bad else 0.0) for h, (n, bad) in enumerate(hosts) for k in range(n)]
+
+    schema = "tbl string, row_id long, host string, n_words long, n_repeated long, share double"
+    clean, mixed = measured("clean", [(20, 0)] * 9 + [(2, 1)]), measured("mixed", [(20, 18), (20, 1), (20, 19), (20, 0), (2, 1)])
+    both = spark.createDataFrame(clean + mixed, schema)
+    got = {(x["tbl"], x["host"]): x["host_rate"] for x in r.host_verdicts(both).collect()}
+    assert got == {(x["tbl"], x["host"]): x["host_rate"] for part in (clean, mixed) for x in r.host_verdicts(spark.createDataFrame(part, schema)).collect()}
+    assert got["clean", "h9"] < 0.35 < got["mixed", "h4"] and got["mixed", "h0"] > 0.8
+    # hosts beyond the broadcast are joined with a salt
+    whole = sorted(map(tuple, r.judge(both).select("tbl", "row_id", "host_rate", "found").collect()))
+    assert sorted(map(tuple, r.judge(both, broadcast_hosts=0).select("tbl", "row_id", "host_rate", "found").collect())) == whole and len(whole) == len(clean + mixed)
