@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from lexloom.session import materialize
 
 
-def running_sum(df: DataFrame, size: Column, order: Sequence[Column], group: str | None = None, name: str = "offset", partitions: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, size: Column, order: Sequence[Column], group: str | None = None, name: str = "offset", partitions: int | None = None, below: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``size`` over the rows before this one in ``order`` (per ``group``).
 
-    Rows are range-partitioned by group and order, written once, summed per range, and only the
+    ``df`` should hold keys and sizes only, as all of it is shuffled and written. With ``below``, rows whose sum
+    isn't under it are left out, whole ranges at a time where possible. Rows are range-partitioned by group and order, written once, summed per range, and only the
     ranges' sums (one row per partition and group) are put in order globally.
     """
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -32,9 +33,12 @@ def running_sum(df: DataFrame, size: Column, order: Sequence[Column], group: str
         joined = kept.join(sums, same & F.col(group).eqNullSafe(F.col("_g")))
     else:
         joined = kept.join(F.broadcast(sums), same)
+    if below is not None:
+        joined = joined.where(F.col("_before") < below)
     inside = W.partitionBy("_part", *g).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = joined.withColumn(name, F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    return out.drop("_size", "_part", "_p", "_before", "_g")
+    out = out.drop("_size", "_part", "_p", "_before", "_g")
+    return out if below is None else out.where(F.col(name) < below)
 
 
 def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -42,7 +46,15 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     return running_sum(df, F.lit(1), order, name=name)
 
 
-def byte_budget(df: DataFrame, text: str, order: Sequence[Column], target: int, separator: str = "") -> DataFrame:
-    """Rows in order until ``target`` bytes are reached; the row that crosses the target is the last one in."""
+def byte_budget(df: DataFrame, text: str, order: Sequence[Column], target: int, separator: str = "", key: Sequence[str] = ()) -> DataFrame:
+    """Rows in order until ``target`` bytes are reached; the row that crosses the target is the last one in.
+
+    With a unique ``key``, only keys and lengths are ordered and written; ranges behind the one that crosses the
+    target aren't looked at row by row, and texts are joined back for the accepted rows.
+    """
     cost = F.octet_length(F.col(text)) + len(separator.encode())
-    return running_sum(df, cost, order, name="written").where(F.col("written") < target)
+    if not key:
+        return running_sum(df, cost, order, name="written").where(F.col("written") < target)
+    slim = df.select(*key, cost.cast("long").alias("_cost"), *[o.alias(f"_o{k}") for k, o in enumerate(order)])
+    placed = running_sum(slim, F.col("_cost"), [F.col(f"_o{k}") for k in range(len(order))], name="written", below=target)
+    return df.join(placed.select(*key, "written"), list(key))

@@ -11,6 +11,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.functions.bytetext import byte_alphabet, format_bytes_column, to_word, token_char
@@ -22,8 +23,10 @@ from lexloom.sources import text as sources
 
 MERGES = 12
 TOP = 20
+MOST_CHARS = 200_000
 WORDS = r"[A-Za-z]+|[0-9]+"
 BUDGET = 200_000
+CORPUS_SCALE = 100_000  # the jobs' targets are for a corpus of 180 GB
 SPECIALS = SpecialTokens(dict.fromkeys(PRESETS["code"] + PRESETS["chat"]))
 GPT4, GPT4_DIGITS = parse_spec("gpt4").build, parse_spec("gpt4+digits").build
 # Short samples to look at.
@@ -93,12 +96,38 @@ def min_bytes_filter(spark, d):
 
 
 def seed_filter(spark, d):
-    return sources.corpus(table(spark, d, "cosmopedia_v2"), "text", F.col("seed_data") != "auto_math_text").select("row_id", "seed_data")
+    return sources.corpus(table(spark, d, "cosmopedia_v2"), "text", sources.seed_condition("!= auto_math_text", F.col("seed_data"))).select("row_id", "seed_data")
 
 
 def byte_budget(spark, d):
     rows = sources.corpus(docs(spark, d), "text").select("doc_id", "text")
-    return sources.budgeted(rows, "text", [F.col("doc_id")], BUDGET).select("doc_id", "written")
+    return sources.budgeted(rows, "text", [F.col("doc_id")], BUDGET, key=["doc_id"]).select("doc_id", "written")
+
+
+def corpus_jobs(spark, d) -> list[sources.Job]:
+    """The jobs of the table jobs, their byte targets scaled down to these tables."""
+    latest = W.partitionBy("job").orderBy(F.col("updated_at").desc_nulls_last(), F.col("target_bytes").desc_nulls_last())
+    held = table(spark, d, "jobs").where("job is not null").withColumn("_n", F.row_number().over(latest)).where("_n = 1 and target_bytes > 0 and source is not null").orderBy("job").collect()
+    tables = {"content": ("code_files", "file_id", "content"), "text": ("cosmopedia_v2", "row_id", "text")}
+    out = []
+    for j in held:
+        name, key, text = ("fineweb_edu_dedup", "row_id", "text") if "fineweb" in j["source"].lower() else tables[j["text_column"]]
+        out.append(sources.Job(j["job"], table(spark, d, name), key, text, j["target_bytes"] // CORPUS_SCALE, j["source"], j["seed_filter"]))
+    return out
+
+
+def build_corpus(spark, d):
+    """Each job's rows in the corpus, with where they begin in the job's output."""
+    built = sources.build_corpus(corpus_jobs(spark, d))
+    return built.select("job", "key", "written", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("digest"))
+
+
+def corpus_sizes(spark, d):
+    """The corpus written and read back: rows and bytes per job."""
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    return sources.write_corpus(sources.build_corpus(corpus_jobs(spark, d)), path)
 
 
 def shard_shuffle(spark, d):
@@ -112,7 +141,7 @@ def separator_join(spark, d):
 
 
 def truncate_chars(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(F.substring("text", 1, 1000)).alias("digest"))
+    return docs(spark, d).select("doc_id", F.md5(F.substring("text", 1, MOST_CHARS)).alias("digest"))
 
 
 # splitting
@@ -355,7 +384,7 @@ def format_bytes(spark, d):
 
 QUERIES = {
     "scan_documents": scan_documents, "scan_parquet_prune": scan_parquet_prune, "scan_lines": scan_lines, "html_doc_split": html_doc_split, "category_concat": category_concat,
-    "min_bytes_filter": min_bytes_filter, "seed_filter": seed_filter, "byte_budget": byte_budget, "shard_shuffle": shard_shuffle, "separator_join": separator_join, "truncate_chars": truncate_chars,
+    "min_bytes_filter": min_bytes_filter, "seed_filter": seed_filter, "byte_budget": byte_budget, "build_corpus": build_corpus, "corpus_sizes": corpus_sizes, "shard_shuffle": shard_shuffle, "separator_join": separator_join, "truncate_chars": truncate_chars,
     "special_split": special_split, "pretok_regex": _split(by_regex(WORDS)), "pretok_gpt4": _split(GPT4), "pretok_digits": _split(digits), "pretok_gpt4_digits": _split(GPT4_DIGITS),
     "chunk_counts": chunk_counts, "chunk_counts_words": chunk_counts_words, "ingest_stats": ingest_stats, "unique_chunks": unique_chunks, "min_frequency_filter": min_frequency_filter, "canonical_sort": canonical_sort,
     "stored_merge_counts": stored_merge_counts, "agg_roundtrip": agg_roundtrip, "stream_counts": stream_counts,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from lexloom.plans.tokenizer_queries import BUDGET, MERGES, SANITY, SPECIALS, TOP, WHITESPACE, WORDS
+from lexloom.plans.tokenizer_queries import BUDGET, CORPUS_SCALE, MERGES, MOST_CHARS, SANITY, SPECIALS, TOP, WHITESPACE, WORDS
 from lexloom.sources.text import SEPARATOR
 
 _BLANK_LINE = r"\x{0B}\x{0C} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\t"
@@ -103,6 +103,14 @@ def _text_split(expression: str) -> str:
     return f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, item AS chunk FROM ({placed('l', expression, 'documents WHERE text IS NOT NULL', 'doc_id')})"
 
 
+_SHUFFLED = "md5('42|' || {0}), {0}"
+_CORPUS = f"""WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY updated_at DESC NULLS LAST, target_bytes DESC NULLS LAST) AS n FROM jobs WHERE job IS NOT NULL) WHERE n = 1 AND target_bytes > 0 AND source IS NOT NULL),
+rows_ AS (SELECT source, file_id AS key, content AS text, NULL AS seed FROM code_files UNION ALL SELECT source, row_id, text, seed_data FROM cosmopedia_v2 UNION ALL SELECT source, row_id, text, NULL FROM fineweb_edu_dedup),
+own AS (SELECT DISTINCT ON (job, key) c.job, c.target_bytes // {CORPUS_SCALE} AS target, r.key, r.text FROM rows_ r JOIN cur c ON lower(trim(r.source)) = lower(trim(c.source))
+  AND (c.seed_filter IS NULL OR (starts_with(c.seed_filter, '=') AND lower(trim(r.seed)) = lower(trim(substr(c.seed_filter, 2)))) OR (starts_with(c.seed_filter, '!=') AND lower(trim(r.seed)) IS DISTINCT FROM lower(trim(substr(c.seed_filter, 3)))))
+  WHERE octet_length(encode(r.text)) >= 100 AND r.key IS NOT NULL),
+placed AS (SELECT *, CAST(coalesce(sum(octet_length(encode(text)) + {len(SEPARATOR)}) OVER (PARTITION BY job ORDER BY {_SHUFFLED.format("key")} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS written FROM own),
+corpus AS (SELECT job, key, written, CAST(octet_length(encode(text)) + {len(SEPARATOR)} AS BIGINT) AS n_bytes, md5(text || {_SEP}) AS digest FROM placed WHERE written < target)"""
 _DIGITS = "regexp_extract_all({}, '(?s)[0-9]|[^0-9]+')"
 SQL = {
     "scan_documents": f"SELECT doc_id, CAST({_BYTES} AS BIGINT) AS n_bytes, length(text) AS n_points, md5(text) AS digest FROM documents",
@@ -110,10 +118,14 @@ SQL = {
     "html_doc_split": f"SELECT doc_id, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, md5(html) AS digest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?i)(<!doctype)', chr(57345) || '\\1', 'g'), chr(57345))) AS html FROM documents) WHERE octet_length(encode(html)) >= 100",
     "category_concat": "SELECT category, doc_id, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY category ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM documents WHERE text IS NOT NULL AND category IS NOT NULL",
     "min_bytes_filter": f"SELECT doc_id, CAST({_BYTES} AS BIGINT) AS n_bytes FROM documents WHERE {_BYTES} >= 100",
-    "seed_filter": f"SELECT row_id, seed_data FROM cosmopedia_v2 WHERE {_BYTES} >= 100 AND seed_data <> 'auto_math_text'",
+    "seed_filter": f"SELECT row_id, seed_data FROM cosmopedia_v2 WHERE {_BYTES} >= 100 AND lower(trim(seed_data)) IS DISTINCT FROM 'auto_math_text'",
     "byte_budget": f"SELECT doc_id, written FROM (SELECT doc_id, CAST(coalesce(sum({_BYTES} + {len(SEPARATOR)}) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS written FROM documents WHERE {_BYTES} >= 100) WHERE written < {BUDGET}",
+    "build_corpus": f"{_CORPUS} SELECT * FROM corpus",
+    "corpus_sizes": f"{_CORPUS} SELECT job, count(*) AS rows, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM corpus GROUP BY job",
+    "shard_shuffle": f"SELECT doc_id, CAST(row_number() OVER (ORDER BY {_SHUFFLED.format('doc_id')}) - 1 AS BIGINT) AS place FROM documents",
+    "scan_lines": "SELECT * FROM (VALUES ('one'), ('two' || chr(13) || 'still two'), (''), ('last without end')) v(text)",
     "separator_join": f"SELECT doc_id, CAST(octet_length(encode(text || {_SEP})) AS BIGINT) AS n_bytes, md5(text || {_SEP}) AS digest FROM documents WHERE text IS NOT NULL",
-    "truncate_chars": "SELECT doc_id, md5(substr(text, 1, 1000)) AS digest FROM documents",
+    "truncate_chars": f"SELECT doc_id, md5(substr(text, 1, {MOST_CHARS})) AS digest FROM documents",
     "special_split": f"WITH {_SEGS} SELECT * FROM segs",
     "pretok_regex": _text_split(f"regexp_extract_all(text, '{WORDS}')"),
     "pretok_gpt4": _text_split(gpt4("text")),

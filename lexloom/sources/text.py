@@ -7,8 +7,11 @@ import itertools
 import json
 import logging
 import os
+import re
 import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,9 +68,26 @@ def from_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return rows.where(F.is_valid_utf8("value")).select(F.regexp_replace("value", "\r$", "").alias("text"))
 
 
-def from_parquet(spark: SparkSession, path: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Only the text column and those to filter by; unreadable files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(path).select(text, *keep)
+def from_parquet(spark: SparkSession, path: str, text: str, keep: Sequence[str] = (), report: bool = True) -> DataFrame:
+    """Only the text column and those to filter by; unreadable files are skipped and, with ``report``, logged one by one."""
+    rows = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    if report:
+        for name in silent_files(rows, path):
+            log.warning("no rows from %s: unreadable or empty; skipped", name)
+    return rows.select(text, *keep)
+
+
+def silent_files(rows: DataFrame, path: str) -> list[str]:
+    """Data files under ``path`` from which ``rows`` has no row. Executors read footers only; the driver gets the names that are missing."""
+    spark = rows.sparkSession
+    fs, at = file_system(spark, path)
+    names, it = [], fs.listFiles(at, True)
+    while it.hasNext():
+        p = it.next().getPath()
+        if not p.getName().startswith(("_", ".")):
+            names.append((p.getName(), p.toString()))
+    seen = rows.select(F.col("_metadata.file_name").alias("name")).distinct()
+    return sorted(r["path"] for r in spark.createDataFrame(names, "name string, path string").join(seen, "name", "left_anti").collect())
 
 
 def html_documents(df: DataFrame, key: str, text: str, least_bytes: int = 100) -> DataFrame:
@@ -82,14 +102,62 @@ def corpus(df: DataFrame, text: str, condition: Column | None = None, least_byte
     return rows if condition is None else rows.where(condition)
 
 
-def budgeted(df: DataFrame, text: str, order: Sequence[Column], target_bytes: int, separator: str = SEPARATOR) -> DataFrame:
+def seed_condition(seed_filter: str | None, seed: Column) -> Column:
+    """``= value`` or ``!= value`` on a column; case and outer blanks don't matter, a null differs from every value."""
+    if seed_filter is None or not seed_filter.strip():
+        return F.lit(True)
+    m = re.fullmatch(r"\s*(!=|<>|==?)\s*['\"]?(.*?)['\"]?\s*", seed_filter)
+    if not m:
+        raise ValueError(f"can't read the seed filter {seed_filter!r}")
+    same = F.coalesce(F.lower(F.trim(seed)) == F.lit(m[2].strip().lower()), F.lit(False))
+    return ~same if m[1] in ("!=", "<>") else same
+
+
+def budgeted(df: DataFrame, text: str, order: Sequence[Column], target_bytes: int, separator: str = SEPARATOR, key: Sequence[str] = ()) -> DataFrame:
     """Rows in order up to a byte target, the separator counted."""
-    return byte_budget(df, text, order, target_bytes, separator)
+    return byte_budget(df, text, order, target_bytes, separator, key)
+
+
+class Job(NamedTuple):
+    """What a corpus takes of one table: rows whose ``source`` it is (None: all) and that pass the filter, up to a target."""
+
+    name: str
+    table: DataFrame
+    key: str
+    text: str
+    target_bytes: int
+    source: str | None = None
+    seed_filter: str | None = None
+
+
+def build_corpus(jobs: Sequence[Job], least_bytes: int = 100, separator: str = SEPARATOR, seed: int = 42) -> DataFrame:
+    """``job, key, written, text``: every job's rows in shuffled order up to its byte target, each with the separator behind it.
+
+    Jobs are few and don't depend on each other; of a table only keys and lengths are ordered.
+    """
+    parts = []
+    for j in jobs:
+        rows = j.table
+        if j.source is not None:
+            rows = rows.where(F.lower(F.trim("source")) == j.source.strip().lower())
+        if j.seed_filter is not None:
+            rows = rows.where(seed_condition(j.seed_filter, F.col("seed_data") if "seed_data" in rows.columns else F.lit(None).cast("string")))
+        rows = corpus(rows.select(F.col(j.key).cast("long").alias("key"), F.col(j.text).alias("text")), "text", least_bytes=least_bytes).where("key is not null").dropDuplicates(["key"])
+        kept = budgeted(rows, "text", shuffled_order("key", seed), j.target_bytes, separator, ["key"])
+        parts.append(separated(kept, "text", separator).select(F.lit(j.name).alias("job"), "key", "written", "text"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_corpus(rows: DataFrame, path: str) -> DataFrame:
+    """Write a corpus as Parquet, a folder per job, and return bytes and rows of each job, counted from what was written."""
+    rows.write.mode("overwrite").partitionBy("job").parquet(path)
+    written = rows.sparkSession.read.schema("key long, written long, text string, job string").parquet(path)
+    return written.groupBy("job").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
 
 
 def shuffled_order(key: str, seed: int = 42) -> list[Column]:
     """An order that looks random and is the same in every run."""
-    return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    return [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)]
 
 
 def separated(df: DataFrame, text: str, separator: str = SEPARATOR) -> DataFrame:
@@ -99,7 +167,8 @@ def separated(df: DataFrame, text: str, separator: str = SEPARATOR) -> DataFrame
 def category_layout(df: DataFrame, category: str, order: str, text: str, separator: str = "\n\n") -> DataFrame:
     """Where each text begins in its category's concatenation, in characters, without building it in one place."""
     rows = df.where(F.col(text).isNotNull() & F.col(category).isNotNull())
-    return running_sum(rows, F.length(text) + len(separator), [F.col(order)], group=category, name="begins")
+    sized = rows.select(category, order, (F.length(text) + len(separator)).alias("_chars"))  # no text is moved
+    return running_sum(sized, F.col("_chars"), [F.col(order)], group=category, name="begins").drop("_chars")
 
 
 def category_folders(spark: SparkSession, root: str, skip: Iterable[str] = ("results", ".git", "__pycache__")) -> DataFrame:

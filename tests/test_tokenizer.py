@@ -229,3 +229,42 @@ def test_specials_in_training(spark):
     t = Tokenizer(spark)
     t.train_from_iterator(["hello<|x|>world"] * 30, 350, special_tokens=["<|x|>"])
     assert not any(b"|" in b and len(b) > 1 for b, _ in t.get_mergeable_ranks()) and SpecialTokens(["<|x|>"]).split("a<|x|>")[1] == (True, "<|x|>")
+
+
+def test_unreadable_files_are_named(spark, tmp_path, caplog):
+    from lexloom.sources import text as sources
+
+    folder = str(tmp_path / "t")
+    spark.createDataFrame([(k, f"text {k}") for k in range(8)], "k int, text string").repartition(2).write.parquet(folder)
+    (tmp_path / "t" / "zz-broken.parquet").write_bytes(b"PAR1 nothing here PAR1")
+    with caplog.at_level("WARNING"):
+        assert sources.from_parquet(spark, folder, "text", ["k"]).count() == 8
+    assert [r.getMessage() for r in caplog.records if "zz-broken" in r.getMessage()] and not [r for r in caplog.records if "part-" in r.getMessage()]
+
+
+def test_corpus_is_built_and_written(spark, tmp_path):
+    from lexloom.sources import text as sources
+
+    rows = [(k, " Code/A" if k % 2 else "code/a", "x" * (100 + k), "Auto " if k % 3 == 0 else None if k % 3 == 1 else "other") for k in range(40)]
+    rows += [(0, "code/a", "x" * 100, "Auto "), (90, "code/a", None, None), (91, "code/a", "short", None), (None, "code/a", "y" * 200, None), (92, "web", "z" * 300, None)]
+    t = spark.createDataFrame(rows, "key long, source string, text string, seed_data string")
+    jobs = [sources.Job("all", t, "key", "text", 1000, "code/a"), sources.Job("not auto", t, "key", "text", 10**9, "CODE/A", "!= auto"), sources.Job("auto", t, "key", "text", 10**9, None, "= auto")]
+    built = sources.build_corpus(jobs)
+    got = {j: sorted((r for r in built.collect() if r["job"] == j), key=lambda r: r["written"]) for j in ("all", "not auto", "auto")}
+    assert {r["key"] for r in got["auto"]} == {k for k in range(40) if k % 3 == 0} and {r["key"] for r in got["not auto"]} == {k for k in range(40) if k % 3}
+    sizes = [len(r["text"]) for r in got["all"]]
+    assert all(r["text"].endswith(sources.SEPARATOR) for r in got["all"]) and [r["written"] for r in got["all"]] == [sum(sizes[:k]) for k in range(len(sizes))]
+    assert sum(sizes[:-1]) < 1000 <= sum(sizes)
+    report = {r["job"]: (r["rows"], r["n_bytes"]) for r in sources.write_corpus(built, str(tmp_path / "c")).collect()}
+    assert report == {j: (len(rs), sum(len(r["text"]) for r in rs)) for j, rs in got.items()}
+
+
+def test_shared_folder_is_asked_for_off_local(spark):
+    from types import SimpleNamespace
+
+    from lexloom.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://h:7077"), conf=conf)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(remote)
