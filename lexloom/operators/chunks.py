@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-import json
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.pretok import PreTokenizer
 from lexloom.functions.specials import SpecialTokens, segments
+from lexloom.session import file_system
 
 MAGIC, VERSION = "lexloom-chunks", 1
 
 
 class ArtifactError(ValueError):
-    """The folder isn't a chunk artifact, or one of another version."""
+    """A folder that can't be read as a chunk artifact."""
+
+
+class ArtifactMissing(ArtifactError):
+    """Nothing is there."""
+
+
+class ArtifactMarkWrong(ArtifactError):
+    """Something else is there."""
+
+
+class ArtifactVersionUnknown(ArtifactError):
+    """It was written in another version."""
+
+
+class ArtifactBroken(ArtifactError):
+    """Its parts don't fit together: a column or the description is missing, or counts are."""
 
 
 def text_chunks(text: Column, pretok: PreTokenizer, specials: SpecialTokens | None = None) -> Column:
@@ -67,15 +83,25 @@ def write_artifact(counts: DataFrame, path: str, spec: str, pattern: str, specia
 
 def read_artifact(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(chunk, cnt) and what ``write_artifact`` noted about them."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        raise ArtifactMissing(f"nothing at {path}")
     try:
-        meta = spark.read.parquet(f"{path}/meta").first()
-    except Exception as e:
-        raise ArtifactError(f"no chunk artifact at {path}") from e
-    if meta is None or "magic" not in meta or meta["magic"] != MAGIC:
-        raise ArtifactError(f"{path} isn't a chunk artifact")
+        table = spark.read.parquet(f"{path}/meta")
+        meta = table.first() if "magic" in table.columns else None
+    except AnalysisException as e:  # a part isn't there or isn't Parquet; other errors pass through
+        raise ArtifactMarkWrong(f"{path} isn't a chunk artifact") from e
+    if meta is None or meta["magic"] != MAGIC:
+        raise ArtifactMarkWrong(f"{path} isn't a chunk artifact")
     if meta["version"] != VERSION:
-        raise ArtifactError(f"{path} has version {meta['version']}; this is {VERSION}")
-    return spark.read.parquet(f"{path}/chunks").select(F.decode("chunk", "UTF-8").alias("chunk"), "cnt"), meta.asDict()
+        raise ArtifactVersionUnknown(f"{path} has version {meta['version']}; this is {VERSION}")
+    try:
+        counts = spark.read.parquet(f"{path}/chunks")
+    except AnalysisException as e:
+        raise ArtifactBroken(f"{path} has no chunks") from e
+    if not {"chunk", "cnt"} <= set(counts.columns) or counts.where("chunk is null or cnt is null").limit(1).count():
+        raise ArtifactBroken(f"{path} lacks chunks or counts")
+    return counts.select(F.decode("chunk", "UTF-8").alias("chunk"), "cnt"), meta.asDict()
 
 
 def merge_counts(*parts: DataFrame) -> DataFrame:
@@ -85,6 +111,3 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
         out = out.unionByName(p)
     return out.groupBy("chunk").agg(F.sum("cnt").alias("cnt"))
 
-
-def describe(meta: dict) -> str:
-    return json.dumps({k: v for k, v in meta.items() if k != "magic"}, ensure_ascii=False)

@@ -40,9 +40,9 @@ def ranked(per_category: DataFrame, category: str = "category", tokenizer: str =
     return per_category.withColumn("place", F.row_number().over(W.partitionBy(category).orderBy(F.col("chars_per_token").desc(), F.col(tokenizer))))
 
 
-def report_order(macro_rows: DataFrame, own: list[str], tokenizer: str = "tokenizer") -> DataFrame:
-    """Rows of a report: one's own tokenizers first, then by macro compression; as many rows as tokenizers."""
-    return macro_rows.orderBy(F.when(F.col(tokenizer).isin(own), 0).otherwise(1), F.col("macro_chars_per_token").desc(), F.col(tokenizer))
+def report_order(own: Column, tokenizer: str = "tokenizer") -> list[Column]:
+    """The order of a report: one's own tokenizers first, then by macro compression."""
+    return [own.desc(), F.col("macro_chars_per_token").desc(), F.col(tokenizer)]
 
 
 def round_trip(rows: DataFrame, text: str = "text", back: str = "back", n_tokens: str = "n_tokens") -> DataFrame:
@@ -58,7 +58,6 @@ def failures(rows: DataFrame, key: str, text: str = "text", back: str = "back")
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """Position (from 0) of the first differing character; null if equal."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))), True)
-    return F.when(a == b, F.lit(None)).otherwise(F.when(at > 0, at - 1).otherwise(n)).cast("int")
+    """Position (from 0) of the first differing character; null if equal. Both are cut into characters once."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y))
+    return F.when(a == b, F.lit(None)).otherwise(F.array_position(same, False) - 1).cast("int")

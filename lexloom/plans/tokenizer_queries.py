@@ -6,6 +6,7 @@ a few merges, which is a parameter of the feature and no cut of the rows.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from functools import reduce
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.bytetext import byte_alphabet, format_bytes_column, to_word, token_char
 from lexloom.functions.pretok import by_regex, digits, parse_spec
 from lexloom.functions.specials import PRESETS, SpecialTokens, segments
-from lexloom.operators import chunks, compare, encode, evaluate, export, merges, ordered
-from lexloom.session import file_system, materialize, shared_dir, spread, table
+from lexloom.operators import chunks, compare, encode, evaluate, export, merges, ordered, validate
+from lexloom.session import discard, file_system, materialize, shared_dir, spread, table
 from lexloom.sources import text as sources
 
 MERGES = 12
@@ -29,9 +30,9 @@ BUDGET = 200_000
 CORPUS_SCALE = 100_000  # the jobs' targets are for a corpus of 180 GB
 SPECIALS = SpecialTokens(dict.fromkeys(PRESETS["code"] + PRESETS["chat"]))
 GPT4, GPT4_DIGITS = parse_spec("gpt4").build, parse_spec("gpt4+digits").build
-# Short samples to look at.
-SANITY = ["def __init__(self):", "import numpy as np", "for i in range(10):", "    return self.value"]
-WHITESPACE = ["    ", "        ", "\t", "\n    ", "\n        ", "\n\t", "\n\n"]
+SANITY = ["while left < right:", "let total = 0;", "SELECT name FROM shelf", "        yield node"]  # short samples to look at
+MANY_MERGES = 64
+WHITESPACE = validate.WHITESPACE
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +194,9 @@ def agg_roundtrip(spark, d):
     path = f"{shared_dir(spark)}/artifact-{uuid.uuid4().hex}"
     stats = {"total_bytes": 0, "total_sequences": 0, "total_chunks": c.agg(F.sum("cnt")).first()[0] or 0}
     chunks.write_artifact(c, path, "gpt4", parse_spec("gpt4").pattern, SPECIALS, stats)
+    discard(c)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
     return chunks.read_artifact(spark, path)[0]
 
 
@@ -200,6 +204,8 @@ def stream_counts(spark, d):
     from lexloom.streaming.chunk_stream import count_stream, running_counts
 
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    fs, at = file_system(spark, base)
+    fs.deleteOnExit(at)
     docs(spark, d).select("doc_id", "text").repartition(3, "doc_id").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     count_stream(stream, "text", GPT4, f"{base}/out", f"{base}/state", SPECIALS).awaitTermination()
@@ -234,6 +240,11 @@ def bpe_train(spark, d):
     return merges.merge_table(spark, found)
 
 
+def bpe_train_many(spark, d):
+    """By rounds to a larger vocabulary."""
+    return merges.merge_table(spark, merges.train(counts(spark, d), 256 + MANY_MERGES, merge_mode="scan"))
+
+
 def train_full(spark, d):
     return merges.merge_table(spark, merges.train(counts(spark, d), 256 + MERGES, merge_mode="full"))
 
@@ -294,6 +305,12 @@ def roundtrip_report(spark, d):
     return evaluate.round_trip(both)
 
 
+def round_trip_failures(spark, d):
+    """First difference of each text that is changed by one known fault: its first carriage return is lost."""
+    rows = docs(spark, d).where("text is not null").select("doc_id", "text", F.regexp_replace("text", "(?s)^([^\r]*)\r(.*)$", "$1$2").alias("back"))
+    return evaluate.failures(rows, "doc_id")
+
+
 def _single(spark, d, texts):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "pattern int, text string")
     ids = encode.encode(rows, "pattern", "text", trained(spark, d), GPT4, SPECIALS)
@@ -311,7 +328,7 @@ def sanity_encodes(spark, d):
 def report_order(spark, d):
     """Place of each tokenizer in the report, bytes alone counted as one's own."""
     rows = evaluate.macro(per_category(spark, d)).withColumn("own", F.col("tokenizer") == "bytes")
-    return ordered.row_numbers(rows, [F.col("own").desc(), F.col("macro_chars_per_token").desc()], "place").select("place", "tokenizer")
+    return ordered.row_numbers(rows, evaluate.report_order(F.col("own")), "place").select("place", "tokenizer")
 
 
 def special_atomicity(spark, d):
@@ -365,13 +382,21 @@ def rank_per_category(spark, d):
 
 
 def compare_tokenizers(spark, d):
-    """Public tokenizers on the corpus; their folder is LEXLOOM_TOKENIZERS, files that aren't there are left out."""
+    """Public tokenizers on the corpus; their folder is LEXLOOM_TOKENIZERS, and all their files must be there."""
     folder = os.environ.get("LEXLOOM_TOKENIZERS", "/opt/tokenizers")
     gpt2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     known = {"byte_bpe_50k": compare.Loader("ranks", f"{folder}/byte_bpe_50k.tiktoken", gpt2), "word_bpe_49k": compare.Loader("hf", f"{folder}/word_bpe_49k.json"), "piece_bpe_32k": compare.Loader("piece", f"{folder}/piece_bpe_32k.model")}
-    there = {n: x for n, x in known.items() if os.path.exists(x.path)}
+    if missing := [x.path for x in known.values() if not os.path.exists(x.path)]:
+        raise FileNotFoundError(f"tokenizer files are missing: {', '.join(missing)}")
     rows = spread(docs(spark, d).select("category", "text"))
-    return compare.compare(rows, "category", "text", there).drop("encode_seconds").withColumn("chars_per_tok", F.round("chars_per_tok", 6))
+    return compare.compare(rows, "category", "text", known).drop("encode_seconds").withColumn("chars_per_tok", F.round("chars_per_tok", 6))
+
+
+def validate_report(spark, d):
+    """A trained tokenizer, written as its file and loaded by another implementation, on the documents."""
+    content = json.dumps(export.tokenizer_json(trained(spark, d), parse_spec("gpt4").pattern, SPECIALS, False), ensure_ascii=False)
+    got = validate.report(texts(spark, d), "text", content)
+    return spark.createDataFrame([(got["texts"], got["passed"], got["n_bytes"], got["n_tokens"], sum(n == 1 for n in got["specials"].values()))], "texts long, passed long, n_bytes long, n_tokens long, whole_specials long")
 
 
 def validate_scan(spark, d):
@@ -388,9 +413,9 @@ QUERIES = {
     "special_split": special_split, "pretok_regex": _split(by_regex(WORDS)), "pretok_gpt4": _split(GPT4), "pretok_digits": _split(digits), "pretok_gpt4_digits": _split(GPT4_DIGITS),
     "chunk_counts": chunk_counts, "chunk_counts_words": chunk_counts_words, "ingest_stats": ingest_stats, "unique_chunks": unique_chunks, "min_frequency_filter": min_frequency_filter, "canonical_sort": canonical_sort,
     "stored_merge_counts": stored_merge_counts, "agg_roundtrip": agg_roundtrip, "stream_counts": stream_counts,
-    "pair_counts": pair_counts, "pair_index": pair_index, "top_pairs": top_pairs, "merge_step": merge_step, "bpe_train": bpe_train, "train_full": train_full, "top_merges": top_merges, "vocab_sweep": vocab_sweep,
+    "pair_counts": pair_counts, "pair_index": pair_index, "top_pairs": top_pairs, "merge_step": merge_step, "bpe_train": bpe_train, "bpe_train_many": bpe_train_many, "train_full": train_full, "top_merges": top_merges, "vocab_sweep": vocab_sweep,
     "special_ids": special_ids, "byte_alphabet": byte_alphabet_query, "mergeable_ranks": mergeable_ranks, "tiktoken_lines": tiktoken_lines,
-    "encode_tokens": encode_tokens, "decode_roundtrip": decode_roundtrip, "roundtrip_report": roundtrip_report, "whitespace_coverage": whitespace_coverage, "sanity_encodes": sanity_encodes, "report_order": report_order, "special_atomicity": special_atomicity, "vocab_composition": vocab_composition,
+    "encode_tokens": encode_tokens, "decode_roundtrip": decode_roundtrip, "roundtrip_report": roundtrip_report, "round_trip_failures": round_trip_failures, "whitespace_coverage": whitespace_coverage, "sanity_encodes": sanity_encodes, "report_order": report_order, "special_atomicity": special_atomicity, "vocab_composition": vocab_composition,
     "tokens_by_category": tokens_by_category, "chars_per_token": chars_per_token, "macro_geomean": macro_geomean, "best_per_category": best_per_category, "rank_per_category": rank_per_category, "compare_tokenizers": compare_tokenizers,
-    "validate_scan": validate_scan, "format_bytes": format_bytes,
+    "validate_scan": validate_scan, "validate_report": validate_report, "format_bytes": format_bytes,
 }

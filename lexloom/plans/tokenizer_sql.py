@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 
-from lexloom.plans.tokenizer_queries import BUDGET, CORPUS_SCALE, MERGES, MOST_CHARS, SANITY, SPECIALS, TOP, WHITESPACE, WORDS
+from lexloom.functions.specials import PRESETS
+from lexloom.plans.tokenizer_queries import BUDGET, CORPUS_SCALE, MANY_MERGES, MERGES, MOST_CHARS, SANITY, SPECIALS, TOP, WHITESPACE, WORDS
 from lexloom.sources.text import SEPARATOR
 
 _BLANK_LINE = r"\x{0B}\x{0C} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\t"
@@ -64,15 +65,22 @@ def _id(text: str) -> str:
     return f"CAST(('0x' || {text}) AS INTEGER)"
 
 
-_ALL = " UNION ALL ".join(f"SELECT {k} AS rank, {256 + k} AS new_id, p, freq FROM m{k + 1}" for k in range(MERGES))
-TRAINED = unrolled(MERGES)
-_TRAIN = f"{TRAINED} SELECT CAST(rank AS INTEGER) AS rank, CAST(new_id AS INTEGER) AS new_id, {_id('substr(p, 2, 4)')} AS left_id, {_id('substr(p, 8, 4)')} AS right_id, freq FROM ({_ALL})"
+def _train(n: int) -> str:
+    every = " UNION ALL ".join(f"SELECT {k} AS rank, {256 + k} AS new_id, p, freq FROM m{k + 1}" for k in range(n))
+    return f"{unrolled(n)} SELECT CAST(rank AS INTEGER) AS rank, CAST(new_id AS INTEGER) AS new_id, {_id('substr(p, 2, 4)')} AS left_id, {_id('substr(p, 8, 4)')} AS right_id, freq FROM ({every})"
+
+
+TRAINED, _TRAIN = unrolled(MERGES), _train(MERGES)
 # token bytes in hex: replace ids by their parts, the newest first
 _EXPANDED = "'<' || lpad(hex(id), 4, '0') || '>'"
 for _k in range(MERGES, 0, -1):
     _EXPANDED = f"replace({_EXPANDED}, '<{255 + _k:04X}>', (SELECT p FROM m{_k}))"
 _RANKS = rf"ranks AS (SELECT CAST(id AS INTEGER) AS id, regexp_replace({_EXPANDED}, '<00(..)>', '\1', 'g') AS token_hex FROM (SELECT unnest(range(0, {256 + MERGES})) AS id))"
-_SPECIAL_IDS = " UNION ALL ".join(f"SELECT '{t}' AS token, {i} AS id" for t, i in SPECIALS.ids(256 + MERGES).items())
+# ids follow the merges that were found, in the order of the presets, each string once
+_SPECIAL_IDS = (
+    f"SELECT token, CAST((SELECT count(*) FROM ({' UNION ALL '.join(f'SELECT p FROM m{k + 1}' for k in range(MERGES))})) + 255 + row_number() OVER (ORDER BY nth) AS INTEGER) AS id "
+    f"FROM (SELECT token, min(nth) AS nth FROM (SELECT unnest([{', '.join(repr(t) for t in PRESETS['code'] + PRESETS['chat'])}]) AS token, unnest(range(0, {len(PRESETS["code"] + PRESETS["chat"])})) AS nth) GROUP BY token)"
+)
 _TOKENS = (
     f"special_ids AS ({_SPECIAL_IDS}), joined AS (SELECT doc_id, seg_pos, chunk_pos, CASE WHEN special THEN '<' || lpad(hex(s.id), 4, '0') || '>' ELSE w.w END AS w FROM parts p LEFT JOIN w{MERGES} w ON NOT p.special AND p.chunk = w.chunk LEFT JOIN special_ids s ON p.special AND p.chunk = s.token), "
     f"texts AS (SELECT doc_id, string_agg(w, '' ORDER BY seg_pos, chunk_pos) AS w FROM joined GROUP BY doc_id)"
@@ -80,6 +88,13 @@ _TOKENS = (
 _SIZES = f"{TRAINED}, {_TOKENS}, rows_ AS (SELECT d.doc_id, d.category, length(d.text) AS n_chars, coalesce(length(t.w) // 6, 0) AS merged, coalesce(b.n, 0) AS bytes FROM documents d LEFT JOIN texts t ON d.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, sum(CASE WHEN special THEN 1 ELSE octet_length(encode(seg)) END) AS n FROM segs GROUP BY doc_id) b ON d.doc_id = b.doc_id WHERE d.text IS NOT NULL), long_ AS (SELECT 'bytes' AS tokenizer, category, n_chars, bytes AS n_tokens FROM rows_ UNION ALL SELECT 'merged', category, n_chars, merged FROM rows_), cats AS (SELECT tokenizer, category, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, CASE WHEN sum(n_tokens) > 0 THEN CAST(sum(n_chars) AS DOUBLE) / sum(n_tokens) ELSE 0.0 END AS cpt FROM long_ GROUP BY ALL)"
 
 
+# what the ids of a text stand for, in hex, against the text's own bytes
+_BACK = (
+    "names AS (SELECT id, token_hex AS h FROM ranks UNION ALL SELECT id, hex(encode(token)) FROM special_ids), "
+    f"back AS (SELECT d.doc_id, coalesce(string_agg(n.h, '' ORDER BY t.pos), '') = any_value(hex(encode(d.text))) AS same FROM documents d LEFT JOIN (SELECT doc_id, pos, {_id('substr(w, pos * 6 + 2, 4)')} AS id FROM (SELECT doc_id, w, unnest(range(0, length(w) // 6)) AS pos FROM texts)) t ON d.doc_id = t.doc_id LEFT JOIN names n ON t.id = n.id WHERE d.text IS NOT NULL GROUP BY d.doc_id)"
+)
+
+
 def _listed(texts) -> str:
     return " UNION ALL ".join(f"SELECT {k} AS pattern, " + " || ".join(f"chr({ord(c)})" for c in t) + " AS text" for k, t in enumerate(texts))
 
@@ -145,20 +160,22 @@ SQL = {
     "top_pairs": f"{WORDS_BASE} SELECT {_id('substr(p, 2, 4)')} AS left_id, {_id('substr(p, 8, 4)')} AS right_id, cnt FROM (SELECT p, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({_pairs(0)}) GROUP BY p ORDER BY cnt DESC, p LIMIT {TOP})",
     "merge_step": f"{unrolled(1)} SELECT chunk, CAST(length(w) // 6 AS BIGINT) AS n_tokens FROM w1",
     "bpe_train": _TRAIN,
+    "bpe_train_many": _train(MANY_MERGES),
     "train_full": _TRAIN,
     "top_merges": f"{TRAINED}, {_RANKS} SELECT CAST(id - 256 AS INTEGER) AS rank, token_hex FROM ranks WHERE id BETWEEN 256 AND {255 + TOP}",
     "vocab_sweep": f"{TRAINED} " + " UNION ALL ".join(f"SELECT CAST({256 + n} AS INTEGER) AS vocab_size, CAST(sum(length(w) // 6 * cnt) AS BIGINT) AS n_tokens FROM w{n}" for n in (4, 8, MERGES)),
-    "special_ids": f"SELECT token, CAST(id AS INTEGER) AS id FROM ({_SPECIAL_IDS})",
+    "special_ids": f"{TRAINED} SELECT token, id FROM ({_SPECIAL_IDS})",
     "byte_alphabet": f"SELECT CAST(b AS INTEGER) AS byte, {_LETTERS} AS letter FROM (SELECT unnest(range(0, 256)) AS b)",
     "mergeable_ranks": f"{TRAINED}, {_RANKS} SELECT id, token_hex FROM ranks",
     "tiktoken_lines": f"{TRAINED}, {_RANKS} SELECT id, to_base64(unhex(token_hex)) || ' ' || id AS line FROM ranks",
     "encode_tokens": f"{TRAINED}, {_TOKENS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, {_id('substr(w, pos * 6 + 2, 4)')} AS token_id FROM (SELECT doc_id, w, unnest(range(0, length(w) // 6)) AS pos FROM texts)",
     "decode_roundtrip": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
-    "roundtrip_report": f"{_SIZES} SELECT count(*) AS texts, count(*) AS passed, round(CAST(sum(n_chars) AS DOUBLE) / sum(merged), 6) AS chars_per_token FROM rows_",
+    "roundtrip_report": f"{_SIZES}, {_RANKS}, {_BACK} SELECT count(*) AS texts, count(*) FILTER (WHERE same) AS passed, round(CAST(sum(n_chars) FILTER (WHERE same) AS DOUBLE) / sum(merged) FILTER (WHERE same), 6) AS chars_per_token FROM rows_ JOIN back USING (doc_id)",
+    "round_trip_failures": "SELECT doc_id, CAST(strpos(text, chr(13)) - 1 + CASE WHEN substr(text, strpos(text, chr(13)) + 1, 1) = chr(13) THEN length(regexp_extract(substr(text, strpos(text, chr(13))), '^\r+')) - 1 ELSE 0 END AS INTEGER) AS first_difference FROM documents WHERE contains(text, chr(13))",
     "whitespace_coverage": _coverage(WHITESPACE),
     "sanity_encodes": _coverage(SANITY),
-    "report_order": "SELECT CAST(p AS BIGINT) AS place, t AS tokenizer FROM (VALUES (0, 'bytes'), (1, 'merged')) v(p, t)",
-    "special_atomicity": f"SELECT CAST(i AS INTEGER) AS pattern, CAST(1 AS BIGINT) AS n_tokens, true AS single FROM (SELECT unnest(range(0, {len(SPECIALS.tokens)})) AS i)",
+    "report_order": f"{_SIZES}, macro AS (SELECT tokenizer, exp(avg(ln(cpt))) AS m FROM cats WHERE cpt > 0 GROUP BY tokenizer) SELECT CAST(row_number() OVER (ORDER BY tokenizer = 'bytes' DESC, m DESC, tokenizer) - 1 AS BIGINT) AS place, tokenizer FROM macro",
+    "special_atomicity": f"SELECT CAST(pattern AS INTEGER) AS pattern, sum(CASE WHEN item IN ({_LIST}) THEN 1 ELSE octet_length(encode(item)) END)::BIGINT AS n_tokens, sum(CASE WHEN item IN ({_LIST}) THEN 1 ELSE octet_length(encode(item)) END) = 1 AS single FROM (SELECT pattern, unnest({split('text')}) AS item FROM ({_listed(SPECIALS.tokens)})) GROUP BY pattern",
     "vocab_composition": f"{TRAINED}, {_RANKS}, {_TOKENS}, names AS (SELECT id, length(token_hex) // 2 AS n FROM ranks UNION ALL SELECT id, octet_length(encode(token)) FROM special_ids) SELECT token_id, CAST(count(*) AS BIGINT) AS uses, CAST(any_value(n) AS INTEGER) AS n_bytes FROM (SELECT {_id('substr(w, pos * 6 + 2, 4)')} AS token_id FROM (SELECT w, unnest(range(0, length(w) // 6)) AS pos FROM texts)) t JOIN names ON token_id = names.id GROUP BY token_id",
     "tokens_by_category": f"{_SIZES} SELECT tokenizer, category, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM long_ GROUP BY tokenizer, category UNION ALL SELECT tokenizer, NULL, CAST(sum(n_tokens) AS BIGINT) FROM long_ GROUP BY tokenizer",
     "chars_per_token": f"{_SIZES} SELECT tokenizer, category, n_chars, n_tokens, round(cpt, 6) AS chars_per_token FROM cats",
@@ -166,5 +183,6 @@ SQL = {
     "best_per_category": f"{_SIZES} SELECT category, round(max(cpt), 6) AS best_chars_per_token, min(n_tokens) AS fewest_tokens FROM cats GROUP BY category",
     "rank_per_category": f"{_SIZES} SELECT category, tokenizer, CAST(row_number() OVER (PARTITION BY category ORDER BY cpt DESC, tokenizer) AS INTEGER) AS place FROM cats",
     "validate_scan": f"SELECT count(*) AS texts, CAST(sum({_BYTES}) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL",
+    "validate_report": f"{_SIZES} SELECT (SELECT count(*) FROM rows_) AS texts, (SELECT count(*) FROM rows_) AS passed, (SELECT CAST(sum({_BYTES}) AS BIGINT) FROM documents) AS n_bytes, (SELECT CAST(sum(merged) AS BIGINT) FROM rows_) AS n_tokens, (SELECT count(*) FROM special_ids) AS whole_specials",
     "format_bytes": f"SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KB', n / 1024.0) ELSE n || ' B' END AS size FROM (SELECT doc_id, {_BYTES} AS n FROM documents WHERE text IS NOT NULL)",
 }

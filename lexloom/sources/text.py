@@ -40,7 +40,11 @@ def from_iterable(spark: SparkSession, texts: Iterable[str], buffer_size: int =
             rows.append((seq, t))
             seq, held = seq + 1, held + len(t)
         if held >= part_chars:
-            path = path or f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+            if path is None:
+                path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+                fs, at = file_system(spark, path)
+                fs.deleteOnExit(at)
+            log.info("%d texts read", seq)
             spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
             rows, held = [], 0
     if path is None:

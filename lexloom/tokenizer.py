@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from lexloom.functions.pretok import Spec, resolve_spec
 from lexloom.functions.specials import SpecialTokens
 from lexloom.memory import MemoryMonitor
 from lexloom.operators import chunks, encode, export, merges
-from lexloom.session import materialize, ship
+from lexloom.session import discard, materialize, ship
 from lexloom.sources.text import from_iterable
 
 
@@ -30,6 +30,7 @@ class Tokenizer:
         self.spec: Spec = resolve_spec()
         self.specials = SpecialTokens()
         self.peak_rss_bytes = 0
+        self.on_round: Callable[[int, int], None] | None = None  # told how many merges of how many there are
 
     def _monitor(self, wanted: bool, warn_at: str | int | None) -> MemoryMonitor | None:
         if not wanted and warn_at is None:
@@ -50,7 +51,7 @@ class Tokenizer:
         monitor = self._monitor(monitor_ram, ram_warn_at)
         try:
             counts = chunks.chunk_counts(df, text, spec.build, specials)
-            self.merges = merges.train(counts, vocab_size, min_frequency, merge_mode)
+            self.merges = merges.train(counts, vocab_size, min_frequency, merge_mode, self.on_round)
         finally:
             self._end(monitor)
         self.spec, self.specials = spec, specials
@@ -67,6 +68,7 @@ class Tokenizer:
         total = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("c"), F.count("*").alias("u")).first()
         stats = {"total_sequences": bytes_["n"], "total_bytes": bytes_["b"], "total_chunks": total["c"], "unique_chunks": total["u"]}
         chunks.write_artifact(counts, output_path, spec.canonical, spec.pattern, specials, stats)
+        discard(counts)
         return stats
 
     def aggregate(self, iterator: Iterable[str], output_path: str, buffer_size: int = 8192, pattern: str | None = None, pre_tokenizer: str | None = None, special_tokens: Iterable[str] | None = None, monitor_ram: bool = False, ram_warn_at: str | int | None = None) -> dict:
@@ -81,7 +83,7 @@ class Tokenizer:
         counts, meta = chunks.read_artifact(self.spark, agg_path)
         monitor = self._monitor(monitor_ram, ram_warn_at)
         try:
-            self.merges = merges.train(counts, vocab_size, min_frequency, merge_mode)
+            self.merges = merges.train(counts, vocab_size, min_frequency, merge_mode, self.on_round)
         finally:
             self._end(monitor)
         self.spec, self.specials = resolve_spec(meta["pre_tokenizer_config"]), SpecialTokens(meta["special_tokens"] or ())

@@ -268,3 +268,49 @@ def test_shared_folder_is_asked_for_off_local(spark):
     remote = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://h:7077"), conf=conf)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(remote)
+
+
+def test_commands_compare_and_validate(spark, tmp_path, capsys):
+    from lexloom.cli import main
+    from lexloom.tokenizer import Tokenizer
+
+    lines = ["the quick brown fox", "jumps over 12 lazy dogs", "<|endoftext|>", "", "\tindented"] * 4
+    tok = Tokenizer(spark)
+    seen = []
+    tok.on_round = lambda done, of: seen.append((done, of))
+    tok.train_from_iterator(lines, 280, special_tokens=["<|endoftext|>"], merge_mode="scan")
+    assert seen and seen[-1][0] == len(tok.merges)
+    for name, size in (("small", 260), ("large", 280)):
+        tok.truncated(size).save_huggingface(str(tmp_path / "tokenizers" / name))
+    for category in ("prose", "code"):
+        (tmp_path / "texts" / category).mkdir(parents=True)
+        (tmp_path / "texts" / category / "a.txt").write_text("\n".join(lines))
+    assert main(["compare", "--tokenizers", str(tmp_path / "tokenizers"), "--texts", str(tmp_path / "texts"), "--own", "small", "--output", str(tmp_path / "out")]) == 0
+    report = (tmp_path / "out" / "results.csv").read_text().splitlines()
+    assert len(report) == 5 and report[1].startswith("small,") and "small" in (tmp_path / "out" / "results.tex").read_text()
+    test_file = tmp_path / "t.txt"
+    test_file.write_text("\n".join(lines))
+    assert main(["validate", "--tokenizer", str(tmp_path / "tokenizers" / "large"), "--test-files", str(test_file), "--check"]) == 0
+    said = capsys.readouterr().out
+    assert f"round trip: {len(lines)} of {len(lines)} lines" in said and "specials: 1 of 1" in said
+
+
+def test_errors_of_artifacts(spark, tmp_path):
+    with pytest.raises(chunks.ArtifactMissing):
+        chunks.read_artifact(spark, str(tmp_path / "none"))
+    (tmp_path / "other").mkdir()
+    with pytest.raises(chunks.ArtifactMarkWrong):
+        chunks.read_artifact(spark, str(tmp_path / "other"))
+    path = str(tmp_path / "a")
+    counts = spark.createDataFrame([("a", 1), (None, 2)], "chunk string, cnt long")
+    chunks.write_artifact(counts, path, "gpt4", "x", SpecialTokens(), {"total_bytes": 1, "total_chunks": 3, "total_sequences": 1})
+    with pytest.raises(chunks.ArtifactBroken):
+        chunks.read_artifact(spark, path)
+
+
+@pytest.mark.parametrize(("a", "b", "at"), [("abc", "abc", None), ("abc", "abd", 2), ("abc", "ab", 2), ("", "x", 0), ("😀x", "😀y", 1), ("ab" * 50_000 + "c", "ab" * 50_000 + "d", 100_000)])
+def test_first_difference(spark, a, b, at):
+    from lexloom.operators.evaluate import first_difference
+
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(first_difference(df["a"], df["b"])).first()[0] == at
