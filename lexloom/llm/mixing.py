@@ -30,7 +30,6 @@ records, or a job without capacity, reaches share 0. An empty mix has no rows.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lexloom.session import materialize
+from lexloom.sources.text import seed_condition
 
 MAX_BLOCKS = 4096
 SLOT_BITS = 60
@@ -64,17 +64,6 @@ def current_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("job").isNotNull()).withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
 
 
-def seed_condition(seed_filter: str | None, seed: Column) -> Column:
-    """``= value`` or ``!= value`` on the seed column; case and outer blanks don't matter."""
-    if seed_filter is None or not seed_filter.strip():
-        return F.lit(True)
-    m = re.fullmatch(r"\s*(!=|<>|==?)\s*['\"]?(.*?)['\"]?\s*", seed_filter)
-    if not m:
-        raise ValueError(f"unknown seed filter {seed_filter!r}")
-    same = F.lower(F.trim(seed)) == F.lit(m[2].strip().lower())
-    return ~F.coalesce(same, F.lit(False)) if m[1] in ("!=", "<>") else F.coalesce(same, F.lit(False))
-
-
 def weights(shares: list[float], exponent: float) -> list[float]:
     raw = [s**exponent if s > 0 else 0.0 for s in shares]
     total = sum(raw)
