@@ -137,7 +137,8 @@ class Job(NamedTuple):
 def build_corpus(jobs: Sequence[Job], least_bytes: int = 100, separator: str = SEPARATOR, seed: int = 42) -> DataFrame:
     """``job, key, written, text``: every job's rows in shuffled order up to its byte target, each with the separator behind it.
 
-    Jobs are few and don't depend on each other; of a table only keys and lengths are ordered.
+    Only keys and lengths are ordered, those of all jobs together; texts are joined back for the accepted rows.
+    A key that occurs twice in a job counts once, with its longer text.
     """
     parts = []
     for j in jobs:
@@ -146,10 +147,15 @@ def build_corpus(jobs: Sequence[Job], least_bytes: int = 100, separator: str = S
             rows = rows.where(F.lower(F.trim("source")) == j.source.strip().lower())
         if j.seed_filter is not None:
             rows = rows.where(seed_condition(j.seed_filter, F.col("seed_data") if "seed_data" in rows.columns else F.lit(None).cast("string")))
-        rows = corpus(rows.select(F.col(j.key).cast("long").alias("key"), F.col(j.text).alias("text")), "text", least_bytes=least_bytes).where("key is not null").dropDuplicates(["key"])
-        kept = budgeted(rows, "text", shuffled_order("key", seed), j.target_bytes, separator, ["key"])
-        parts.append(separated(kept, "text", separator).select(F.lit(j.name).alias("job"), "key", "written", "text"))
-    return reduce(DataFrame.unionByName, parts)
+        rows = rows.select(F.lit(j.name).alias("job"), F.col(j.key).cast("long").alias("key"), F.col(j.text).alias("text")).where("key is not null")
+        parts.append(corpus(rows, "text", least_bytes=least_bytes))
+    rows = reduce(DataFrame.unionByName, parts)
+    sizes = rows.groupBy("job", "key").agg(F.max(F.octet_length("text")).alias("n_bytes"))
+    placed = running_sum(sizes, F.col("n_bytes") + len(separator.encode()), shuffled_order("key", seed), group="job", name="written")
+    targets = F.broadcast(rows.sparkSession.createDataFrame([(j.name, j.target_bytes) for j in jobs], "job string, target long"))  # as many rows as jobs
+    kept = placed.join(targets, "job").where("written < target").select("job", "key", "n_bytes", "written")
+    texts = rows.withColumn("n_bytes", F.octet_length("text")).join(kept, ["job", "key", "n_bytes"]).dropDuplicates(["job", "key"])
+    return separated(texts, "text", separator).select("job", "key", "written", "text")
 
 
 def write_corpus(rows: DataFrame, path: str) -> DataFrame:
