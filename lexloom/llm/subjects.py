@@ -13,9 +13,10 @@ name whole documents, are incomplete and partly wrong, so the models are refined
 by the first models, and the next ones are trained on those that speak clearly for a subject
 their document is labelled with, or very clearly for another. Label spellings are matched without case and
 blanks; a spelling that is no subject's name is taken for the subject that most of its documents speak for.
-Forms, spellings and thresholds come from a bounded sample (``max_labelled`` documents, ``max_chars``
-characters, by a hash of the id) on the driver; the n-grams of the final models are counted on the executors over all labelled
-documents, and the ``max_grams`` most frequent ones make the model.
+All of it is counted on the executors over all labelled documents, whatever their number and length: shapes and words of the
+forms in every round, n-grams (of which the ``max_grams`` most frequent ones make the model) and their weights in every round, votes of the
+spellings, and agreement at every threshold. The driver gets sums alone. A fifth of the documents, by a hash of the
+id, is held out of the models that are calibrated; the final ones count it in. ``train`` makes the former from texts in memory.
 
 *Judging.* The evidence of a sentence for a subject is its cross-entropy per token under the
 background less that under the subject's model, taken with half the weight of its neighbours of the same
@@ -23,7 +24,7 @@ form. A sentence of prose goes to the subject with most evidence if that passes
 threshold; a sentence of code is about ``CODE_SUBJECT`` and about every other subject whose threshold for code
 is passed. A subject's share is the words of its sentences over all words; a
 document has every subject whose share reaches ``accept``, the quarter that defines the task. The
-thresholds are calibrated on labelled documents outside the training part: of each subject's by which labels
+thresholds are calibrated on all labelled documents that were held out (on all, if there are fewer than ``SPLIT``): of each subject's by which labels
 and acceptance agree best, the middle one.
 
 Defined results: null, empty and wordless texts, and texts in which no sentence speaks for a
@@ -35,8 +36,10 @@ document has a subject; equal scores go to the subject that comes first in name
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +50,15 @@ from lexloom.llm import wordstream as ws
 from lexloom.session import discard, materialize
 
 ACCEPT = 0.25
-MAX_LABELLED = 2000
+MAX_LABELLED = 2000  # of ``sample_of``, which no query uses
 MAX_CHARS = 8_000_000
 MAX_GRAMS = 400_000
+FORM_ROUNDS = 3  # over all labelled documents, after sentences were told by label: in each, they are told by the forms before it
 ROUNDS = 2  # over all labelled documents, after n-grams were counted by label: in each, sentences count as the model before it judges them
+SPLIT = 200  # labelled documents from which on a fifth is held out
 UNIGRAM, BIGRAM, SHAPE = 0.8, 0.35, 0.6  # weights of a model's own unigrams against the background, of bigrams against unigrams, of a form's own shapes
 THRESHOLDS = np.round(np.geomspace(0.05, 1.0, 24), 4)  # nats per token
-KNOWN = 4  # words that models of a language must know of a text without any frequent word
+KNOWN = 4  # words that models of a language must know of a text without any frequent word, and that a text must have for words to tell code
 OTHERS = 0.1  # weight of all subjects' agreement beside a subject's own
 CODE_SUBJECT = "software"
 CODE_GAIN, CODE_ODDS = 0.15, 3.0  # nats per token, and in all, by which code must be likelier than prose
@@ -100,10 +105,12 @@ def shapes(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind[at], at
 
 
-def trigrams(kinds: np.ndarray) -> np.ndarray:
-    """Each token's shape with those of the two before it, as one number."""
-    padded = np.concatenate([[_LINE, _LINE], kinds])
-    return (padded[:-2] * SHAPES + padded[1:-1]) * SHAPES + kinds
+def trigrams(kinds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each token's shape with those of the two before it, as one number; texts (``starts``: their first tokens) follow line feeds, not each other."""
+    last, second = (np.concatenate([np.full(k, _LINE), kinds])[: len(kinds)] for k in (1, 2))
+    last[starts] = second[starts] = _LINE
+    second[starts[starts + 1 < len(kinds)] + 1] = _LINE
+    return (second * SHAPES + last) * SHAPES + kinds
 
 
 def _spread(x: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -140,7 +147,7 @@ class Sentences:
         self.token_size = hi - lo
         # signs in front of a text's first word belong to no sentence
         inside = np.arange(self.token_size.sum()) + np.repeat(lo - np.cumsum(self.token_size) + self.token_size, self.token_size)
-        self.tokens = trigrams(kinds)[inside]
+        self.tokens = trigrams(kinds, np.searchsorted(at, w.offsets[:-1]))[inside]
 
     def per_sentence(self, values: np.ndarray) -> np.ndarray:
         """Sums of values of words."""
@@ -180,12 +187,20 @@ def sentences(texts: list[str | None]) -> Sentences:
     return out
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance, and which of them each is (by hashing, where ``np.unique`` sorts)."""
+    coded = pa.array(h.view(np.int64)).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
 def _lookup(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Index of each hash in the sorted table, or len(table)."""
     if not len(table):
         return np.zeros(len(h), np.int64)
-    k = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[k] == h, k, len(table))
+    u, at = _distinct(h)
+    u = u.view(np.uint64)
+    k = np.minimum(np.searchsorted(table, u), len(table) - 1)
+    return np.where(table[k] == u, k, len(table))[at]
 
 
 _FREQUENT: list = []
@@ -215,18 +230,31 @@ class Forms:
         self.known = False
         self.words, self.word_gain, self.shape_gain = np.zeros(0, np.uint64), np.zeros(1, np.float32), np.zeros(1, np.float32)
 
+    def __getstate__(self) -> dict:
+        # histories that were never seen have the same gains whatever the first shape is; side by side they shrink to little
+        if not self.known:
+            return self.__dict__
+        return {**self.__dict__, "shape_gain": zlib.compress(self.shape_gain.reshape(SHAPES, SHAPES, SHAPES).transpose(1, 0, 2).tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.known:
+            self.shape_gain = np.frombuffer(zlib.decompress(state["shape_gain"]), np.float32).reshape(SHAPES, SHAPES, SHAPES).transpose(1, 0, 2).ravel()
+
     def code(self, s: Sentences) -> np.ndarray:
         """Which sentences, with their neighbours, are likelier as code."""
         edge = np.concatenate([[0.0], np.cumsum(self.shape_gain[s.tokens], dtype=np.float64)])
         end = np.cumsum(s.token_size)
-        both = edge[end] - edge[end - s.token_size] + s.per_sentence(self.word_gain[_lookup(self.words, s.hashes)])
+        # a few words without the shapes of code are no code: all counted, even rare names in code are known
+        enough = np.bincount(s.text, s.size)[s.text] >= KNOWN
+        both = edge[end] - edge[end - s.token_size] + enough * s.per_sentence(self.word_gain[_lookup(self.words, s.hashes)])
         near = s.text[1:] == s.text[:-1]
         return _spread(both, near) > np.maximum(CODE_ODDS, CODE_GAIN * _spread(s.token_size + s.size, near))
 
     @staticmethod
-    def _shape_model(tokens: np.ndarray) -> np.ndarray:
+    def _shape_model(counts: np.ndarray) -> np.ndarray:
         """Interpolated trigram probabilities; each order's weight grows with what was seen of its history."""
-        n3 = np.bincount(tokens, minlength=SHAPES**3).reshape(SHAPES, SHAPES, SHAPES).astype(np.float32)
+        n3 = counts.reshape(SHAPES, SHAPES, SHAPES).astype(float)
         n2 = n3.sum(axis=0)
         n1 = n2.sum(axis=0)
         p = (n1 + 1) / (n1.sum() + SHAPES)
@@ -238,18 +266,23 @@ class Forms:
     @classmethod
     def fit(cls, s: Sentences, code: np.ndarray, told: np.ndarray) -> Forms:
         """From sentences that are code and others; ``told``: of which it is known."""
+        of_token, of_word = (np.repeat(np.where(told, np.where(code, 1, 2), 0), n) for n in (s.token_size, s.size))
+        tokens = np.stack([np.bincount(s.tokens[of_token == k], minlength=SHAPES**3) for k in (1, 2)])
+        words, at = np.unique(s.hashes, return_inverse=True)
+        return cls.counted(tokens, words, np.stack([np.bincount(at[of_word == k], minlength=len(words)) for k in (1, 2)]))
+
+    @classmethod
+    def counted(cls, tokens: np.ndarray, words: np.ndarray, n: np.ndarray) -> Forms:
+        """From how often each trigram of shapes and each word (sorted) is in code (first row) and in prose; words seen less than three times don't count."""
         out = cls()
-        out.known = bool((code & told).any() and (told & ~code).any())
+        out.known = bool(tokens.any(axis=1).all())
         if not out.known:
             return out
-        of_token, of_word = (np.repeat(np.where(told, np.where(code, 1, 2), 0), n) for n in (s.token_size, s.size))
-        code, prose = (cls._shape_model(s.tokens[of_token == k]) for k in (1, 2))
+        code, prose = (cls._shape_model(x) for x in tokens)
         both = (1 - SHAPE) * (code + prose) / 2
         out.shape_gain = np.log((SHAPE * code + both) / (SHAPE * prose + both)).astype(np.float32).ravel()
-        out.words, at = np.unique(s.hashes, return_inverse=True)
-        n = np.stack([np.bincount(at[of_word == k], minlength=len(out.words)) for k in (1, 2)]).astype(float)
         often = n.sum(axis=0) >= 3
-        out.words, n = out.words[often], n[:, often]
+        out.words, n = words[often], n[:, often].astype(float)
         p = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
         pooled = p.mean(axis=0)
         g = np.log((UNIGRAM * p[0] + (1 - UNIGRAM) * pooled) / (UNIGRAM * p[1] + (1 - UNIGRAM) * pooled))
@@ -257,7 +290,7 @@ class Forms:
         return out
 
 
-def learn_forms(s: Sentences, about_code: np.ndarray, labelled: np.ndarray, rounds: int = 3) -> Forms:
+def learn_forms(s: Sentences, about_code: np.ndarray, labelled: np.ndarray, rounds: int = FORM_ROUNDS) -> Forms:
     """Forms from texts that are about code's subject and other labelled ones, refined on what they tell apart."""
     told = labelled[s.text]
     forms = Forms.fit(s, about_code[s.text], told)
@@ -435,8 +468,8 @@ def _middle(scores: np.ndarray) -> float:
     return float(np.sqrt(THRESHOLDS[lo] * THRESHOLDS[hi]))
 
 
-def _calibrate(model: Model, s: Sentences, wanted: np.ndarray, test: np.ndarray) -> None:
-    """Thresholds of each subject, for prose and for code, by which acceptance and the labels of ``test`` texts agree best."""
+def _tallies(model: Model, s: Sentences, wanted: np.ndarray, test: np.ndarray) -> np.ndarray:
+    """For prose and code, each subject and threshold: twice the ``test`` texts that are accepted and labelled so, and the sum of those accepted and those labelled."""
     e, n = model.evidence(s), len(wanted)
     total = np.maximum(np.bincount(s.text, s.size, n), 1)
     code, best = s.form == CODE, e.argmax(axis=1)
@@ -456,19 +489,21 @@ def _calibrate(model: Model, s: Sentences, wanted: np.ndarray, test: np.ndarray)
         # in code, what its prose says for the subject counts, too
         on = ~code & (best == k) & (e[:, k] > 0.1)
         coded.append(tally(code, np.bincount(s.text[on], s.size[on], n)) if name != CODE_SUBJECT else np.zeros((len(THRESHOLDS), 2)))
-    for found, least in ((prose, model.prose_least), (coded, model.code_least)):
+    return np.array([prose, coded])
+
+
+def _calibrate(model: Model, tallies: np.ndarray) -> None:
+    """Thresholds of each subject, for prose and for code, by which acceptance and labels agree best."""
+    for found, least in zip(tallies, (model.prose_least, model.code_least)):
         whole = sum(found)
         for k, own in enumerate(found):
             # a subject with few labels follows the others
             both = own + OTHERS * whole
             least[k] = _middle(both[:, 0] / np.maximum(both[:, 1], 1e-9))
-    got = model._shares(s, model.assign(s, e), n)[test] >= ACCEPT
-    both, either = (got & wanted[test]).sum(axis=0), got.sum(axis=0) + wanted[test].sum(axis=0)
-    model.agreement = {x: float(2 * b / m) for x, b, m in zip(model.names, both, either) if m}
 
 
 def train(names: list[str], texts: list[str | None], labels: list[set[str]], rounds: int = 2) -> tuple[Model, dict[str, int]] | None:
-    """Models with thresholds, and which subject each label spelling names, from labelled texts; ``labels`` are spellings as given."""
+    """Models with thresholds, and which subject each label spelling names, from labelled texts in memory; ``labels`` are spellings as given."""
     names = sorted(names)
     key = {folded(x): i for i, x in enumerate(names)}
     spelled = [{folded(x) for x in ls} for ls in labels]
@@ -479,7 +514,7 @@ def train(names: list[str], texts: list[str | None], labels: list[set[str]], rou
     n, own_code = len(texts), key.get(CODE_SUBJECT, -1)
     forms = learn_forms(s, np.array([own_code in ls for ls in known]), np.array([bool(ls) for ls in known])) if own_code >= 0 else Forms()
     s.told(forms)
-    test = np.arange(n) % 5 == 4 if n >= 200 else np.zeros(n, bool)
+    test = np.arange(n) % 5 == 4 if n >= SPLIT else np.zeros(n, bool)
 
     def by_label(sets: list[set[int]], skip: np.ndarray) -> np.ndarray:
         w = np.zeros((n, len(names)), np.float32)
@@ -505,7 +540,10 @@ def train(names: list[str], texts: list[str | None], labels: list[set[str]], rou
     for i, ls in enumerate(sets):
         wanted[i, list(ls)] = True
     held = np.array([bool(ls) for ls in sets]) & (test | ~test.any())
-    _calibrate(model, s, wanted, held)
+    _calibrate(model, _tallies(model, s, wanted, held))
+    got = model._shares(s, model.assign(s, model.evidence(s)), n)[held] >= ACCEPT
+    both, either = (got & wanted[held]).sum(axis=0), got.sum(axis=0) + wanted[held].sum(axis=0)
+    model.agreement = {x: float(2 * b / m) for x, b, m in zip(model.names, both, either) if m}
     return model, names_of
 
 
@@ -516,8 +554,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sample_of(rows: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> tuple[list[str | None], list[set[str]]]:
-    """Texts and label spellings of at most ``max_labelled`` documents of together at most ``max_chars`` characters, in order of the hash."""
-    rows = rows.where(F.length("text") <= max_chars // 8)  # one document mustn't be most of the sample; the final counts have all
+    """For trials with ``train``: texts and label spellings of at most ``max_labelled`` documents of together at most ``max_chars`` characters, in order of the hash."""
+    rows = rows.where(F.length("text") <= max_chars // 8)  # one document mustn't be most of the sample
     short = rows.select("h", F.length("text").alias("n")).orderBy("h", "n").limit(max_labelled).collect()
     fits = int(np.searchsorted(np.cumsum([r["n"] for r in short]), max_chars, "right"))
     if not fits:
@@ -526,47 +564,117 @@ def sample_of(rows: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int
     return [r["text"] for r in got], [set(r["spellings"]) for r in got]
 
 
+@contextmanager
+def _shared(rows: DataFrame, value):
+    """A broadcast for the jobs of a block; its files go with it."""
+    shared = rows.sparkSession.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
 _GRAM = "kind int, h long, a long, b long, form int, subject int, n double"
 
 
-def _labelled(batches: Iterator[pa.RecordBatch], model: Model, names_of: dict[str, int]) -> Iterator[tuple[Sentences, np.ndarray]]:
-    """Sentences of labelled texts with the weights (sentences x subjects) of their labels."""
+def _labelled(batches: Iterator[pa.RecordBatch], told, names_of: dict[str, int], n: int) -> Iterator[tuple[Sentences, np.ndarray, np.ndarray]]:
+    """Sentences of labelled texts (``text, spellings, held``) with the weights (texts x subjects) of their labels, and which texts are held out."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
+        texts, held = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         sets = [{names_of[x] for x in map(folded, ls) if x in names_of} for ls in batch.column(1).to_pylist()]
         for lo, hi in ws.blocks(texts):
-            s = model.told(texts[lo:hi])
-            if not len(s.first):
-                continue
-            named = np.zeros((hi - lo, len(model.names)), np.float32)
+            named = np.zeros((hi - lo, n), np.float32)
             for i, ls in enumerate(sets[lo:hi]):
                 if ls:
                     named[i, list(ls)] = 1 / len(ls)
-            yield s, named[s.text]
+            yield told(texts[lo:hi]), named, held[lo:hi]
+
+
+def _weighted(s: Sentences, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each word of each sentence that has a weight, once per subject: index of the word, of the sentence, of the subject, and the weight."""
+    r, k = np.nonzero(own)
+    size = s.size[r]
+    word = np.arange(size.sum()) + np.repeat(s.first[r] - np.cumsum(size) + size, size)
+    return word, np.repeat(r, size), np.repeat(k, size), np.repeat(own[r, k], size)
+
+
+def _count_forms(shared):
+    """How often trigrams of shapes (kind 0) and words (kind 1) are in code and in prose: told by the forms, or by labels where there are none yet."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms, names_of, n = shared.value
+        tokens = np.zeros((2, SHAPES**3), np.int64)
+
+        def counts(kind: int, h: np.ndarray, both: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), *map(pa.array, both)], names=["kind", "h", "code", "prose"])
+
+        for s, named, _ in _labelled(batches, Sentences, names_of, n):
+            if not len(s.first):
+                continue
+            if forms:
+                of = np.where(forms.code(s), 0, 1)
+            else:
+                about = named[:, names_of[CODE_SUBJECT]] > 0 if CODE_SUBJECT in names_of else np.zeros(len(named), bool)
+                of = np.where(named.any(axis=1), np.where(about, 0, 1), 2)[s.text]
+            side = np.repeat(of, s.token_size)
+            for k in (0, 1):
+                tokens[k] += np.bincount(s.tokens[side == k], minlength=SHAPES**3)
+            words, at = _distinct(s.hashes)
+            yield counts(1, words, np.bincount(np.repeat(of, s.size) * len(words) + at, minlength=3 * len(words)).reshape(3, -1)[:2])
+        seen = np.flatnonzero(tokens.any(axis=0))
+        yield counts(0, seen, tokens[:, seen])
+
+    return go
+
+
+def forms_of(rows: DataFrame, names_of: dict[str, int], n: int) -> Forms | None:
+    """Forms from all labelled rows; None if no text has a label. The driver gets a count per trigram of shapes and per word seen three times."""
+    forms = None
+    for _ in range(FORM_ROUNDS + 1):
+        with _shared(rows, (forms, names_of, n)) as shared:
+            long = rows.select("text", "spellings", "held").mapInArrow(_count_forms(shared), "kind int, h long, code long, prose long")
+            per = long.groupBy("kind", "h").agg(F.sum("code").alias("code"), F.sum("prose").alias("prose"))
+            kind, h, code, prose = (c.to_numpy() for c in per.where((F.col("kind") == 0) | (F.col("code") + F.col("prose") >= 3)).toArrow().columns)
+        both = np.stack([code, prose])
+        tokens = np.zeros((2, SHAPES**3), np.int64)
+        tokens[:, h[kind == 0]] = both[:, kind == 0]
+        if not tokens.any():
+            return None
+        w = np.flatnonzero(kind == 1)
+        words = h[w].view(np.uint64)
+        order = np.argsort(words)
+        # code is looked for only where a label allows it at first, then everywhere
+        forms = Forms.counted(tokens, words[order], both[:, w[order]])
+        if not forms.known:
+            break
+    return forms
 
 
 def _count_grams(shared):
-    """Words (kind 1) and pairs (kind 2: of a and b) with their labels' weight by subject; subject -1: in all."""
+    """Words (kind 1) and, if asked for, pairs (kind 2: of a and b) with their labels' weight by subject where not held out; subject -1: in all."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, names_of = shared.value
+        model, names_of, pairs = shared.value
         n = len(model.names)
-        for s, own in _labelled(batches, model, names_of):
-            sentence = np.repeat(np.arange(len(s.size)), s.size)
+        for s, named, held in _labelled(batches, model.told, names_of, n):
+            if not len(s.first):
+                continue
+            word, _, subject, weight = _weighted(s, np.where(held[:, None], 0, named)[s.text])
             form = np.repeat(s.form, s.size)
-            for kind, of in ((1, np.arange(len(s.words))), (2, np.flatnonzero(s.joined))):
-                h = (s.words if kind == 1 else s.pairs)[of]
-                if not len(h):
-                    continue
-                u, first, at = np.unique(h, return_index=True, return_inverse=True)
-                total = np.stack([np.bincount(at, minlength=len(u))] + [np.bincount(at, own[sentence[of], k], len(u)) for k in range(n)], axis=1)
-                r, c = np.nonzero(total)
-                first = of[first[r]]
-                before = s.words[np.maximum(first - 1, 0)].view(np.int64)
+            for kind, h in ((1, s.words), (2, s.pairs))[: 1 + pairs]:
+                u, at = _distinct(h)
+                first = np.zeros(len(u), np.int64)
+                first[at[::-1]] = np.arange(len(h))[::-1]
+                total = np.concatenate([np.bincount(at, minlength=len(u)), np.bincount(subject * len(u) + at[word], weight, n * len(u))]).reshape(n + 1, -1)
+                if kind == 2:  # words that begin a sentence end no pair
+                    total[:, at[~s.joined]] = 0
+                c, r = np.nonzero(total)
+                at_first = first[r]
+                before = s.words[np.maximum(at_first - 1, 0)].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(r), kind, np.int32)), pa.array(u[r].view(np.int64)), pa.array(before), pa.array(s.words[first].view(np.int64)), pa.array(form[first].astype(np.int32)), pa.array((c - 1).astype(np.int32)),
-                        pa.array(total[r, c].astype(np.float64)),
+                        pa.array(np.full(len(r), kind, np.int32)), pa.array(u[r]), pa.array(before), pa.array(s.words[at_first].view(np.int64)), pa.array(form[at_first].astype(np.int32)), pa.array((c - 1).astype(np.int32)),
+                        pa.array(total[c, r].astype(np.float64)),
                     ],
                     names=["kind", "h", "a", "b", "form", "subject", "n"],
                 )
@@ -575,50 +683,60 @@ def _count_grams(shared):
 
 
 def _recount(shared):
-    """Weight of the model's words and pairs by subject, as the model judges the sentences: one row per n-gram and subject of a task."""
+    """Weight of the model's words and pairs by subject, as the model judges the sentences, not held out and held out: one row per n-gram and subject of a task."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, names_of = shared.value
         n, words = len(model.names), len(model.words)
-        total = np.zeros((words + len(model.pairs), n), np.float32)
-        for s, named in _labelled(batches, model, names_of):
-            own = model.speaking(s, named)
-            sentence = np.repeat(np.arange(len(s.size)), s.size)
+        total = np.zeros((2, words + len(model.pairs), n))
+        for s, named, held in _labelled(batches, model.told, names_of, n):
+            if not len(s.first):
+                continue
+            word, sentence, subject, weight = _weighted(s, model.speaking(s, named[s.text]))
+            part = held[s.text][sentence].astype(np.int64)
             for known, table, h in ((0, model.words, s.words), (words, model.pairs, s.pairs)):
-                at = _lookup(table, h)
-                of = np.flatnonzero(at < len(table))
-                for k in np.flatnonzero(own.any(axis=0)):
-                    total[known : known + len(table), k] += np.bincount(at[of], own[sentence[of], k], len(table))
-        r, c = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(total[r, c].astype(np.float64))], names=["gram", "subject", "n"])
+                at = _lookup(table, h)[word]
+                ok = at < len(table)
+                np.add.at(total.reshape(-1), ((part[ok] * len(total[0]) + known + at[ok]) * n + subject[ok]), weight[ok])
+        r, c = np.nonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), *(pa.array(x[r, c]) for x in total)], names=["gram", "subject", "n", "held"])
 
     return go
 
 
-def recounted(rows: DataFrame, model: Model, grams: Grams, names_of: dict[str, int]) -> Model:
-    """The model from the same n-grams, their sentences judged by ``model``; the driver gets as many rows as the model has weights."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, names_of))
-    got = rows.select("text", "spellings").mapInArrow(_recount(shared), "gram int, subject int, n double").groupBy("gram", "subject").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    own = np.zeros((len(model.words) + len(model.pairs), len(model.names)))
-    own[got["gram"], got["subject"]] = got["n"]
-    grams.u, grams.b = own[: len(model.words)], own[len(model.words) :]
-    return grams.model(model.names, model.forms).like(model)
+def recounted(rows: DataFrame, model: Model, grams: Grams, names_of: dict[str, int]) -> tuple[Model, Model]:
+    """Models from the same n-grams, their sentences judged by ``model``: without the rows held out and with them; the driver gets as many rows as the model has weights."""
+    with _shared(rows, (model, names_of)) as shared:
+        got = rows.select("text", "spellings", "held").mapInArrow(_recount(shared), "gram int, subject int, n double, held double").groupBy("gram", "subject").agg(F.sum("n").alias("n"), F.sum("held").alias("held")).toArrow()
+    gram, subject, n, held = (c.to_numpy() for c in got.columns)
+    out = []
+    for weight in (n, n + held):
+        own = np.zeros((len(model.words) + len(model.pairs), len(model.names)))
+        own[gram, subject] = weight
+        grams.u, grams.b = own[: len(model.words)], own[len(model.words) :]
+        out.append(grams.model(model.names, model.forms))
+    return out[0], out[1]
 
 
-def count_all(rows: DataFrame, model: Model, names_of: dict[str, int], max_grams: int = MAX_GRAMS) -> Grams:
-    """N-grams of all labelled rows by label, counted on the executors; the driver gets the ``max_grams`` most frequent ones."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, names_of))
-    long = rows.select("text", "spellings").mapInArrow(_count_grams(shared), _GRAM)
+def _most_frequent(long: DataFrame, max_grams: int) -> dict[str, list]:
+    """A row per n-gram with its weights by subject."""
     per = long.groupBy("kind", "h", "subject").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("form").alias("form"))
     gram = per.groupBy("kind", "h").agg(F.sum(F.when(F.col("subject") < 0, F.col("n"))).alias("times"), F.map_from_entries(F.collect_list(F.when(F.col("subject") >= 0, F.struct("subject", "n")))).alias("by"), F.min("a").alias("a"), F.min("b").alias("b"), F.min("form").alias("form"))
-    often = gram.where(F.col("times") >= F.when(F.col("kind") == 1, 3).otherwise(4)).orderBy(F.col("times").desc(), "kind", "h").limit(max_grams).toArrow().to_pydict()
-    kind, h, times = np.array(often["kind"]), np.array(often["h"], np.int64).view(np.uint64), np.array(often["times"], float)
+    return gram.where(F.col("times") >= F.when(F.col("kind") == 1, 3).otherwise(4)).orderBy(F.col("times").desc(), "kind", "h").limit(max_grams).toArrow().to_pydict()
+
+
+def count_all(rows: DataFrame, model: Model, names_of: dict[str, int], max_grams: int = MAX_GRAMS, pairs: bool = True) -> Grams:
+    """N-grams of all labelled rows, and by label where not held out, counted on the executors; the driver gets the ``max_grams`` most frequent ones."""
     n = len(model.names)
+    with _shared(rows, (model, names_of, pairs)) as shared:
+        long = rows.select("text", "spellings", "held").mapInArrow(_count_grams(shared), _GRAM)
+        often = _most_frequent(long, max_grams)
+    kind, h, times = np.array(often["kind"]), np.array(often["h"], np.int64).view(np.uint64), np.array(often["times"], float)
     own = np.zeros((len(h), n))
     for i, by in enumerate(often["by"]):
         for k, x in by:
             own[i, k] = x
-    form, a, b = np.array(often["form"]), np.array(often["a"], np.int64).view(np.uint64), np.array(often["b"], np.int64).view(np.uint64)
+    form, a, b = np.array(often["form"], np.int64), np.array(often["a"], np.int64).view(np.uint64), np.array(often["b"], np.int64).view(np.uint64)
     w = np.flatnonzero(kind == 1)
     w = w[np.argsort(h[w])]
     words = h[w]
@@ -631,21 +749,88 @@ def count_all(rows: DataFrame, model: Model, names_of: dict[str, int], max_grams
     return Grams(words, form[w], own[w], times[w], h[p], k1, k2, own[p], times[p])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED, max_chars: int = MAX_CHARS, max_grams: int = MAX_GRAMS) -> Model | None:
-    """The model of all labelled documents; None without usable labels."""
+def _count_votes(shared):
+    """The subject that most of a text speaks for, of texts whose only spelling is no subject's name."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, key = shared.value
+        for batch in batches:
+            spelled = [{folded(x) for x in ls} for ls in batch.column(1).to_pylist()]
+            odd = [i for i, ls in enumerate(spelled) if len(ls) == 1 and not ls & key.keys()]
+            if odd:
+                per = model.shares(batch.column(0).take(pa.array(odd)).to_pylist())
+                some = np.flatnonzero(per.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array([next(iter(spelled[odd[i]])) for i in some], pa.string()), pa.array(per[some].argmax(axis=1).astype(np.int32))], names=["spelling", "subject"])
+
+    return go
+
+
+def spellings_of(rows: DataFrame, model: Model, key: dict[str, int]) -> dict[str, int]:
+    """Which subject each spelling names: its own, or the one that more than half of its documents speak for."""
+    with _shared(rows, (model, key)) as shared:
+        votes = rows.select("text", "spellings").mapInArrow(_count_votes(shared), "spelling string, subject int").groupBy("spelling", "subject").count()
+        most = votes.groupBy("spelling").agg(F.max_by("subject", "count").alias("subject"), F.max("count").alias("most"), F.sum("count").alias("n")).where(F.col("most") * 2 > F.col("n"))
+        return {**{r["spelling"]: r["subject"] for r in most.collect()}, **key}
+
+
+def _count_agreement(shared):
+    """Sums of ``_tallies``, a row per number."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, names_of = shared.value
+        total = 0.0
+        for s, named, _ in _labelled(batches, model.told, names_of, len(model.names)):
+            total = total + _tallies(model, s, named > 0, named.any(axis=1)).ravel()
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.ravel(total)[cell])], names=["cell", "n"])
+
+    return go
+
+
+def calibrated(rows: DataFrame, model: Model, names_of: dict[str, int]) -> Model:
+    """The model with thresholds by which acceptance and the labels of all rows agree best."""
+    with _shared(rows, (model, names_of)) as shared:
+        got = rows.select("text", "spellings", "held").mapInArrow(_count_agreement(shared), "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = (c.to_numpy() for c in got.columns)
+    tallies = np.zeros((2, len(model.names), len(THRESHOLDS), 2))
+    tallies.ravel()[cell] = n
+    _calibrate(model, tallies)
+    return model
+
+
+def trained(rows: DataFrame, names: list[str], max_grams: int = MAX_GRAMS) -> tuple[Model, Model, dict[str, int]] | None:
+    """As ``train``, from all rows (``text, spellings, held``) on the executors: the model without the rows held out, whose thresholds are calibrated on these, and the one of all rows."""
+    names = sorted(names)
+    key = {folded(x): i for i, x in enumerate(names)}
+    forms = forms_of(rows, key, len(names))
+    if forms is None:
+        return None
+    none = np.zeros(0, np.uint64)
+    part = Model(names, forms, none, none, np.zeros((0, len(names))), np.zeros((FORMS, len(names)), bool))
+    # words by language first: they tell the language of texts without any frequent word
+    part = count_all(rows, part, key, max_grams, pairs=False).model(names, forms)
+    grams = count_all(rows, part, key, max_grams)
+    part = grams.model(names, forms)
+    names_of = spellings_of(rows, part, key)
+    for _ in range(ROUNDS):
+        part, whole = recounted(rows, part, grams, names_of)
+    held = rows.where("held")
+    calibrated(rows if held.isEmpty() else held, part, names_of)
+    return part, whole.like(part), names_of
+
+
+def fitted(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int | None = None, max_grams: int = MAX_GRAMS) -> Model | None:
+    """The model of all labelled documents (of the first ``max_labelled`` in order of the hash, if that is asked for); None without usable labels."""
     names = [r["subject"] for r in subjects.where(F.col("subject").isNotNull()).select("subject").distinct().collect()]
     if not names:
         return None
-    rows = materialize(labelled_rows(docs, labels))
-    got = train(names, *sample_of(rows, max_labelled, max_chars))
-    if got:
-        model, names_of = got
-        grams = count_all(rows, model, names_of, max_grams)
-        model = grams.model(model.names, model.forms).like(model)
-        for _ in range(ROUNDS):
-            model = recounted(rows, model, grams, names_of)
+    rows = labelled_rows(docs, labels)
+    rows = materialize(rows if max_labelled is None else rows.orderBy("h", F.length("text"), "text").limit(max_labelled))
+    fifth = F.pmod("h", F.lit(5)) == 4
+    n, out = rows.agg(F.count("*"), F.count_if(fifth)).first()
+    got = trained(rows.withColumn("held", fifth if n >= SPLIT and out < n else F.lit(False)), names, max_grams)
     discard(rows)
-    return model if got else None
+    return got[1] if got else None
 
 
 def _judge(model):
@@ -660,7 +845,7 @@ def _judge(model):
     return go
 
 
-def shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled: int | None = None) -> DataFrame:
     """``doc_id, subject, share`` of every subject that some sentence of the document speaks for."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     spark = docs.sparkSession
@@ -671,6 +856,6 @@ def shares(docs: DataFrame, labels: DataFrame, subjects: DataFrame, max_labelled
     return judged.groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
 
 
-def find(docs: DataFrame, labels: DataFrame, subjects: DataFrame, accept: float = ACCEPT, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def find(docs: DataFrame, labels: DataFrame, subjects: DataFrame, accept: float = ACCEPT, max_labelled: int | None = None) -> DataFrame:
     """``doc_id, subject``: the subjects to which at least ``accept`` of a document is devoted."""
     return shares(docs, labels, subjects, max_labelled).where(F.col("share") >= accept).select("doc_id", "subject")

@@ -88,3 +88,39 @@ def test_empty_tables(spark, empty):
     f = list(frames(spark))
     f[empty] = f[empty].limit(0)
     assert s.find(*f).count() == 0
+
+
+def test_all_labelled_documents_teach_forms_and_thresholds(spark):
+    # the 2,000 first documents by the hash of their id have neither code nor mathematics
+    ids = [r["id"] for r in spark.range(2400).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()]
+    docs, labels = [], []
+    for k, i in enumerate(ids):
+        topic = NAMES[k % 2] if k < 2200 else "software"
+        docs.append((i, text((topic, 2)) if k < 2200 else code(["eigen", "gradient", "jacobian"] if k % 2 else ["bucket", "widget", "anchor"])))
+        labels += [(i, topic)] + [(i, "mathematics")] * (k >= 2200 and k % 2)
+    tests = {5000: code(["bucket", "widget"]), 5001: code(["gradient", "jacobian"]), 5002: text(("law", 6))}
+    docs = spark.createDataFrame([*docs, *tests.items()], "doc_id long, text string")
+    found = {tuple(r) for r in s.find(docs, spark.createDataFrame(labels, "doc_id long, subject string"), frames(spark)[2]).where("doc_id >= 5000").collect()}
+    assert found == {(5000, "software"), (5001, "software"), (5001, "mathematics"), (5002, "law")}
+
+
+def test_executors_count_what_one_pass_over_all_texts_counts(spark, model):
+    docs, labels, _ = frames(spark)
+    rows = s.labelled_rows(docs, labels).withColumn("held", s.F.expr("pmod(h, 5) = 4")).repartition(5).cache()
+    part, whole, _ = s.trained(rows, NAMES)
+    assert part.forms.known and (part.forms.words == model.forms.words).all() and abs(part.forms.shape_gain - model.forms.shape_gain).max() < 1e-5
+    held = [r for r in rows.collect() if r["held"]]
+    told = part.told([r["text"] for r in held])
+    wanted = s.np.array([[any(s.folded(x) == n or (n, s.folded(x)) == ("law", "legal") for x in r["spellings"]) for n in NAMES] for r in held])
+    s._calibrate(model, s._tallies(part, told, wanted, s.np.ones(len(held), bool)))
+    assert (model.prose_least == part.prose_least).all() and (model.code_least == part.code_least).all() and (whole.prose_least == part.prose_least).all()
+
+
+def test_shapes_of_a_text_do_not_depend_on_the_text_before():
+    texts = ["a = f(1);", "", "One two.", "x"]
+    alone = [s.Sentences([t]).tokens for t in texts]
+    assert (s.Sentences(texts).tokens == s.np.concatenate(alone)).all()
+
+
+def test_two_words_known_from_code_are_no_code(model):
+    assert not model.shares(["bucket widget"]).any() and model.shares(["bucket(widget);"]).any()
